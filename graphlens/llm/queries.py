@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from graphlens.llm import embed_dedup, simhash
+from graphlens.llm import embed_dedup, media, packing, simhash
 
 
 def queries() -> dict:
     """Name to ``(spark, sf_dir) -> DataFrame`` of every operator's contract query."""
     return {
         "op3_embedding_near_dedup": embed_dedup.op3,
+        "op4_media_columns": media.op4,
         "op7_simhash_near_dedup": simhash.op7,
+        "op8_packing": packing.op8,
     }
 
 
