@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import embed_dedup, media, packing, simhash
+from graphlens.llm import embed_dedup, language, line_dedup, media, packing, sentence_pieces, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,8 +10,12 @@ def queries() -> dict:
     return {
         "op3_embedding_near_dedup": embed_dedup.op3,
         "op4_media_columns": media.op4,
+        "op5_token_counts": token_counts.op5,
+        "op6_language_id": language.op6,
         "op7_simhash_near_dedup": simhash.op7,
         "op8_packing": packing.op8,
+        "op9_line_dedup": line_dedup.op9,
+        "op10_sentence_pieces": sentence_pieces.op10,
     }
 
 
