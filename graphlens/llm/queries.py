@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphlens.llm import embed_dedup, language, line_dedup, media, packing, sentence_pieces, simhash, token_counts
+from graphlens.llm import embed_dedup, language, line_dedup, media, packing, pii, sentence_pieces, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
     """Name to ``(spark, sf_dir) -> DataFrame`` of every operator's contract query."""
     return {
+        "op1_pii": pii.op1,
+        "op2_url_filter": url_filter.op2,
         "op3_embedding_near_dedup": embed_dedup.op3,
         "op4_media_columns": media.op4,
         "op5_token_counts": token_counts.op5,
