@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from graphlens.llm.common import cut, table
 
 MARK = "▁"
-_MEMO = 400_000
+_MEMO = 160_000
 _LOST = -np.inf
 
 
@@ -55,30 +55,39 @@ class Vocabulary:
         self.lone = "".join(c for c in "\n\t" if all(c not in p for p in self.rank))
         self.text = {i: p for p, (_, i) in self.rank.items()}
         self.byte = {i: b for b, i in byte_ids.items()}
-        #: Every beginning of a piece, with the score of those that are pieces.
-        self.begins: dict[str, float] = {p[:n]: _LOST for p in self.rank for n in range(1, len(p))}
-        self.begins |= {p: score for p, (score, _) in self.rank.items()}
+        #: Trie of the pieces: a node is [score, id, nodes by next character], score null inside a piece.
+        self.root: dict[str, list] = {}
+        for p, (score, i) in self.rank.items():
+            nodes = self.root
+            for ch in p:
+                node = nodes.setdefault(ch, [None, -1, {}])
+                nodes = node[2]
+            node[0], node[1] = score, i
 
     def forward(self, s: str, entry: dict[int, float], end: int, stop: int) -> tuple[list[float], list[int]]:
         """Best score of each place up to ``stop`` and where its last piece begins.
 
         Pieces begin before ``end``; ``entry`` holds the places to begin at.
         """
-        best, back, get = [_LOST] * (stop + 1), [-1] * (stop + 1), self.begins.get
+        best, back = [_LOST] * (stop + 1), [-1] * (stop + 1)
         for i, v in entry.items():
             best[i] = v
+        root, chars, missing = self.root, list(s[:stop]), self.missing
         for i in range(end):
             here = best[i]
             if here == _LOST:
                 continue
-            if get(s[i], _LOST) == _LOST and here + self.missing > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.missing, i
-            for j in range(i + 1, stop + 1):
-                score = get(s[i:j])
-                if score is None:
+            node = root.get(chars[i])
+            if (node is None or node[0] is None) and here + missing > best[i + 1]:
+                best[i + 1], back[i + 1] = here + missing, i
+            j = i + 1
+            while node is not None:
+                if node[0] is not None and here + node[0] > best[j]:
+                    best[j], back[j] = here + node[0], i  # the first to reach a sum is the longest piece
+                if j == stop:
                     break
-                if here + score > best[j]:  # the first to reach a sum is the longest piece
-                    best[j], back[j] = here + score, i
+                node = node[2].get(chars[j])
+                j += 1
         return best, back
 
     def ids(self, s: str, cuts: list[int]) -> list[int]:
@@ -91,18 +100,33 @@ class Vocabulary:
 
     def trace(self, s: str) -> tuple[float, bytes]:
         """Score and packed ids of one text that stands alone."""
-        best, back = self.forward(s, {0: 0.0}, len(s), len(s))
-        out, j, rank = [], len(s), self.rank
+        n, root, missing = len(s), self.root, self.missing
+        best, back, what = [0.0] + [_LOST] * n, [0] * (n + 1), [-1] * (n + 1)
+        chars = list(s)
+        for i in range(n):
+            here = best[i]
+            node = root.get(chars[i])
+            j = i + 1
+            if (node is None or node[0] is None) and here + missing > best[j]:
+                best[j], back[j], what[j] = here + missing, i, -1
+            while node is not None:
+                score = node[0]
+                if score is not None and here + score > best[j]:
+                    best[j], back[j], what[j] = here + score, i, node[1]
+                if j == n:
+                    break
+                node = node[2].get(chars[j])
+                j += 1
+        out, j = [], n
         while j:
             i = back[j]
-            got = rank.get(s[i:j])
-            if got is not None:
-                out.append(got[1])
+            if what[j] >= 0:
+                out.append(what[j])
             else:
                 out += [self.byte_ids[b] for b in reversed(s[i:j].encode("utf-8", "replace"))]
             j = i
         out.reverse()
-        return best[-1], array("i", out).tobytes()
+        return best[n], array("i", out).tobytes()
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids."""
@@ -143,10 +167,17 @@ class Encoder:
         self._word = re.compile(f"{MARK}+[^{MARK}{v.lone}]*|[{v.lone}]|[^{MARK}{v.lone}]+" if v.lone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
         class Memo(dict):
+            """Words seen of late; two generations, so that frequent words stay."""
+
+            before: dict = {}
+
             def __missing__(self, word):
                 if len(self) >= _MEMO:
+                    self.before = dict(self)
                     self.clear()
-                got = v.trace(word)
+                got = self.before.get(word)
+                if got is None:
+                    got = v.trace(word)[1]
                 if len(word) <= 64:
                     self[word] = got
                 return got
@@ -160,7 +191,7 @@ class Encoder:
         if not self.v.safe:
             return self.v.trace(s)[1]
         memo = self.memo
-        return b"".join([memo[w][1] for w in self._word.findall(s)])
+        return b"".join(map(memo.__getitem__, self._word.findall(s)))
 
     def _safe(self, s: str, low: int, high: int) -> int | None:
         """First place in ``low..high`` that every path passes."""
@@ -191,7 +222,7 @@ class Encoder:
         at = self.frame(s, size)
         if at is not None:
             first, last = at
-            middle = sum(self.memo[w][0] for w in self._word.findall(s[first:last]))
+            middle = sum(self.v.trace(w)[0] for w in self._word.findall(s[first:last]))
             tail = self._tail(s, last, 0.0, size)
         for i in range(k):
             if i >= size:
@@ -209,33 +240,29 @@ class Encoder:
         best, _ = self.v.forward(s[last:], {0: score}, size - last, len(s) - last)
         return np.array(best[size - last :])
 
-    def traces(self, s: str, size: int, entry: np.ndarray) -> dict[int, tuple[int, bytes]]:
-        """For each exit state the entry state it traces back to and the ids on the way."""
-        v, out = self.v, {}
+    def traces(self, s: str, size: int, entry: np.ndarray) -> tuple[bytes, dict[int, tuple[int, bytes]]]:
+        """Ids that all exits share, and for each exit state its entry state and further ids."""
+        v, out, lead = self.v, {}, b""
         scores = {i: float(x) for i, x in enumerate(entry) if x > _LOST}
         if not scores:
-            return out
+            return lead, out
         at = self.frame(s, size)
         first, last = at if at is not None else (0, 0)
         if at is not None:
             head_best, head_back = v.forward(s[:first], scores, first, first)
             if head_best[first] == _LOST:
-                return out
+                return lead, out
             cuts = self._back(head_back, first)
-            start, head = cuts[0], v.ids(s, cuts)
-            middle = b"".join(self.memo[w][1] for w in self._word.findall(s[first:last]))
-            lead = np.array(head, dtype="<i4").tobytes() + middle
+            start = cuts[0]
+            lead = array("i", v.ids(s, cuts)).tobytes() + b"".join(map(self.memo.__getitem__, self._word.findall(s[first:last])))
             scores = {0: 0.0}
         best, back = v.forward(s[last:], scores, size - last, len(s) - last)
         for j in range(len(s) - size + 1):
             end = size - last + j
-            if best[end] == _LOST:
-                continue
-            cuts = self._back(back, end)
-            ids = np.array(v.ids(s[last:], cuts), dtype="<i4").tobytes()
-            entry_at, ids = (start, lead + ids) if at is not None else (cuts[0], ids)
-            out[j] = (entry_at, ids)
-        return out
+            if best[end] > _LOST:
+                cuts = self._back(back, end)
+                out[j] = (start if at is not None else cuts[0], array("i", v.ids(s[last:], cuts)).tobytes())
+        return lead, out
 
     @staticmethod
     def _back(back: list[int], end: int) -> list[int]:
@@ -264,7 +291,7 @@ def normalise(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def encode(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
     """``(doc_id, text, ids)``: ids of every whole text as little-endian 32-bit integers."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
@@ -307,25 +334,25 @@ def encode(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
         for b in batches:
             rows = []
             for row, n, size, part, entry in zip(*(b.column(c).to_pylist() for c in ("row", "n", "size", "part", "entry"))):
-                for exit_at, (entry_at, ids) in enc.traces(part, size, np.frombuffer(entry, dtype=np.float64)).items():
-                    rows.append((row, n, exit_at, entry_at, ids))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "n", "leave", "enter", "ids"])
+                lead, exits = enc.traces(part, size, np.frombuffer(entry, dtype=np.float64))
+                rows.append((row, n, lead, list(exits), [e for e, _ in exits.values()], [i for _, i in exits.values()]))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "n", "lead", "leave", "enter", "ids"])
 
     def choose(group: pa.Table) -> pa.Table:
-        by = {(n, x): (e, i) for n, x, e, i in zip(*(group[c].to_pylist() for c in ("n", "leave", "enter", "ids")))}
         state, out = 0, []
-        for n in range(max(n for n, _ in by), -1, -1):
-            state, ids = by[n, state]
-            out.append(ids)
+        for r in group.sort_by([("n", "descending")]).to_pylist():
+            at = r["leave"].index(state)
+            out += [r["ids"][at], r["lead"]]
+            state = r["enter"][at]
         return pa.table({"row": group["row"][:1], "ids": pa.array([b"".join(out[::-1])], pa.binary())})
 
     small = base.where(~giant).mapInArrow(short, "doc_id long, text string, ids binary")
     large = cut(base.where(giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
     parts = cut(large.select("row", "text").mapInArrow(slices, "row long, n int, size int, part string").repartition(F.col("row"), F.col("n")))
     entries = parts.mapInArrow(matrices, "row long, n int, matrix binary").groupBy("row").applyInArrow(scan, "row long, n int, entry binary")
-    traced = parts.join(entries, ["row", "n"]).mapInArrow(trace, "row long, n int, leave int, enter int, ids binary")
+    traced = parts.join(entries, ["row", "n"]).mapInArrow(trace, "row long, n int, lead binary, leave array<int>, enter array<int>, ids array<binary>")
     chosen = traced.groupBy("row").applyInArrow(choose, "row long, ids binary")
     return small.unionAll(large.join(chosen, "row").select("doc_id", "text", "ids"))
 
@@ -335,7 +362,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         v = vocabulary(path)
-        word = functools.lru_cache(maxsize=1 << 16)(lambda i: v.text.get(i, ""))
+        size = 1 + max([*v.text, *v.byte], default=0)
+        plain = [v.text.get(i, "") if v.byte.get(i, 128) >= 128 else chr(v.byte[i]) for i in range(size)]
+        joined = np.array([v.byte.get(i, 0) >= 128 for i in range(size)])  # bytes that only make a character together
         for b in batches:
             got = []
             for ids in b.column("ids").to_pylist():
@@ -343,10 +372,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     got.append(None)
                     continue
                 a = np.frombuffer(ids, dtype="<i4")
-                if np.isin(a, list(v.byte)).any():
+                if joined[a].any():
                     got.append(v.decode(a.tolist()))
                 else:
-                    t = "".join(map(word, a.tolist())).replace(MARK, " ")
+                    t = "".join(map(plain.__getitem__, a.tolist())).replace(MARK, " ")
                     got.append(t[1:] if t[:1] == " " else t)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, "decoded"])
 
