@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pieces(batches, rows: int = 1000):
+    """Arrow batches in slices of ``rows``; what the pool holds goes back at the end.
+
+    Python objects exist for one slice at a time, whatever Spark's batch size.
+    """
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it holds at most ``rows`` rows, else as it is.
 
@@ -76,17 +88,21 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def split_hot(rows: DataFrame, block: int) -> DataFrame:
-    """Deal ``rows(bucket, rep, ...)`` into block pairs so that no task gets a hot bucket.
+def split_hot(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """Deal ``n`` ``rows(bucket, rep, ...)`` into block pairs so that no task gets a hot bucket.
 
-    A bucket of up to ``block`` rows is one group (b1 = b2 = 0). A larger one is
-    cut into blocks by a hash of ``rep`` and every pair of its blocks becomes a
-    group, so each pair of rows meets in exactly one group (two rows of one
-    block meet in the group b1 = b2). Buckets of one row are dropped.
+    Rows are counted by slots of their bucket's hash, about ``block / 8`` rows a
+    slot, so the counts stay far smaller than the rows; only rows in a slot of
+    more than ``block`` rows are dealt: cut into blocks by a hash of ``rep``,
+    with every pair of blocks a group, so each pair of rows of a bucket meets in
+    exactly one group (two rows of one block meet in the group b1 = b2). The
+    slots over the limit number at most ``n / block``.
     """
-    size = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    dealt = rows.join(small_side(size, 200_000), "bucket")
-    blocks = F.expr(f"cast(ceil(size / {float(block)}) as int)")
-    dealt = dealt.withColumn("nb", blocks).withColumn("blk", F.expr("cast(pmod(xxhash64(rep, 7), nb) as int)"))
+    slots = 1 << max(0, (8 * n // block).bit_length())
+    slotted = rows.withColumn("slot", F.pmod("bucket", F.lit(slots)))
+    hot = cut(slotted.groupBy("slot").agg(F.count("*").alias("size")).where(F.col("size") > block))
+    dealt = slotted.join(small_side(hot, 100_000), "slot", "left")
+    dealt = dealt.withColumn("nb", F.expr(f"cast(ceil(coalesce(size, 1) / {float(block)}) as int)"))
+    dealt = dealt.withColumn("blk", F.expr("cast(pmod(xxhash64(rep, 7), nb) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    return dealt.select("*", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2")).drop("size", "nb", "other")
+    return dealt.select("*", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2")).drop("slot", "size", "nb", "other")

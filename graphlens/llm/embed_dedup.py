@@ -16,7 +16,7 @@ least number of tables that misses a pair at exactly the threshold with a
 probability of at most ``miss``. Pairs above it are missed far more rarely.
 
 Edge cases: null, empty, zero, non-finite or null-holding vectors link with
-nothing and are their own component; vectors of different lengths do not link;
+nothing and are their own component (a vector whose copies all lack an id has none); vectors of different lengths do not link;
 exact copies count as links of each other and are compared once; ties keep the
 smallest id; empty tables give empty results; other columns are ignored.
 """
@@ -162,19 +162,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, bucket: int = 512,
     whole = F.coalesce(F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = v.where(whole)
     reps = cut(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).where("rep is not null"))
-    k, tables = plan_tables(reps.count(), threshold, bucket, miss)
+    n = reps.count()
+    k, tables = plan_tables(n, threshold, bucket, miss)
     coded = reps.mapInArrow(_encode(k, tables), "rep long, mult long, dim int, vec binary, factor double, key_bytes binary, keys array<int>")
     rows = coded.select("*", F.posexplode("keys").alias("t", "key")).drop("keys")
-    dealt = split_hot(rows.withColumn("bucket", F.xxhash64("dim", "t", "key")).drop("key"), block)
+    dealt = split_hot(rows.withColumn("bucket", F.xxhash64("dim", "t", "key")).drop("key"), n * tables, block)
     grouped = dealt.withColumn("grp", F.xxhash64("bucket", "b1", "b2")).drop("bucket")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = grouped.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_compare(threshold, z), "rep long, links long, root long")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = grouped.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_compare(threshold, z), "rep long, links long, root long")
     found = cut(found)
     comps = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = valid.join(named, "embedding", "left").select("vec_id", "n_links", "component_id")
+    linked = valid.join(named, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
     alone = v.where(~whole).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

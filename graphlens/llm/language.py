@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, table
+from graphlens.llm.common import cut, pieces, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script blocks, and the script that begins there.
@@ -174,7 +174,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     return out
 
 
-def _predict(model: Model, penalty: float, spans: bool, held: int = 6_000_000):
+def _predict(model: Model, penalty: float, spans: bool, names: tuple[str, ...], held: int = 6_000_000):
     class Index(dict):
         """Words to rows of the score table, numbered as they come."""
 
@@ -223,8 +223,8 @@ def _predict(model: Model, penalty: float, spans: bool, held: int = 6_000_000):
                 cols.append(pa.array(runs, kind))
             return cols
 
-        added = ["lang_pred", "score", "spans"][: 2 + spans]
-        for b in batches:
+        added = names[: 2 + spans]
+        for b in pieces(batches, 2000):
             texts = b.column("text").to_pylist()
             s = chars = 0
             for e in range(len(texts)):
@@ -237,12 +237,16 @@ def _predict(model: Model, penalty: float, spans: bool, held: int = 6_000_000):
     return run
 
 
-def predict(docs: DataFrame, model: Model, penalty: float = 4.0, spans: bool = False) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and, on request, ``spans`` of labelled text added."""
-    added = "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    base = docs.drop("lang_pred", "score", "spans").withColumn("text", F.col("text").cast("string"))
+def predict(docs: DataFrame, model: Model, penalty: float = 4.0, spans: bool = False, names: tuple[str, ...] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """``docs`` with the language, its score and, on request, spans of labelled text added under ``names``.
+
+    A column of ``docs`` that has one of these names gives way.
+    """
+    kinds = ("string", "double", "array<struct<start:int,end:int,lang:string>>")[: 2 + spans]
+    added = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+    base = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(_predict(model, penalty, spans), f"{schema}, {added}")
+    return base.mapInArrow(_predict(model, penalty, spans, names), f"{schema}, {added}")
 
 
 def held_out(doc_id):

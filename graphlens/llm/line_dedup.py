@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, table
+from graphlens.llm.common import cut, pieces, table
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -66,8 +66,10 @@ def _hash(chunk: bytes) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text`` and ``lines_removed`` added.
+def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, count: str = "lines_removed") -> DataFrame:
+    """``docs`` with repeated chunks removed from ``text`` and the number of removed lines added as ``count``.
+
+    A column of ``docs`` named ``count`` gives way.
 
     Hashes alone are shuffled to find repeats; texts move once to their
     candidates and once to the verified removals, by doc_id; chunk bytes move
@@ -75,7 +77,7 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50) -> D
     """
 
     def hashed(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [
                 (d, place, *_hash(c))
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
@@ -91,7 +93,7 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50) -> D
     asked = seen.groupBy("doc_id").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("leads"), F.col("place"))).alias("leading"))
 
     def bodies(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for d, t, places, leading in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "places", "leading"))):
                 want, leads = set(places), set(leading)
@@ -106,7 +108,7 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50) -> D
     gone = same.groupBy("doc_id").agg(F.collect_set("place").alias("__gone"))
 
     def rewrite(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts, counts = [], []
             for t, drop in zip(b.column("text").to_pylist(), b.column("__gone").to_pylist()):
                 counts.append(0)
@@ -117,13 +119,13 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50) -> D
                     t = "\n".join(x for p, (s, e, _) in enumerate(tiles) if p not in drop for x in lines[s:e])
                 texts.append(t)
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*names, "lines_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*names, count])
 
-    names = [c for c in docs.columns if c != "lines_removed"]
+    names = [c for c in docs.columns if c != count]
     base = docs.select(*names).withColumn("text", F.col("text").cast("string"))
     joined = base.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return joined.mapInArrow(rewrite, f"{schema}, lines_removed long")
+    return joined.mapInArrow(rewrite, f"{schema}, `{count}` long")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import components, cut, forest, split_hot, table
+from graphlens.llm.common import components, cut, forest, pieces, split_hot, table
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles handled at a time; bounds memory on very long texts.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     """``(doc_id, w0, w1, ...)`` of every document's whole text."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             got = [fingerprint(t, shingle, words) for t in b.column(1).to_pylist()]
             cols = [pa.array([g[w] for g in got], pa.int64()) for w in range(words)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *(f"w{w}" for w in range(words))])
@@ -148,12 +148,12 @@ def near_components(
     """
     w = [f"w{i}" for i in range(words)]
     prints = cut(fingerprints(docs, shingle, words))
-    reps = cut(prints.groupBy(*w).agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    masks = F.array(*(F.lit(m) for m in covering_masks(radius, parts)))
-    keys = F.transform(masks, lambda m, i: F.xxhash64(i, F.col("w0").bitwiseAND(m)))
-    dealt = split_hot(reps.select(F.explode(keys).alias("bucket"), "rep", *w), block)
-    grouped = dealt.select(F.xxhash64("bucket", "b1", "b2").alias("grp"), (F.col("b1") != F.col("b2")).alias("cross"), "blk", "rep", *w)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = cut(prints.groupBy(*w).agg(F.min("doc_id").alias("rep")).where("rep is not null").repartition(n, "rep"))
+    tables = covering_masks(radius, parts)
+    keys = F.transform(F.array(*(F.lit(m) for m in tables)), lambda m, i: F.xxhash64(i, F.col("w0").bitwiseAND(m)))
+    dealt = split_hot(reps.select(F.explode(keys).alias("bucket"), "rep", *w), reps.count() * len(tables), block)
+    grouped = dealt.select(F.xxhash64("bucket", "b1", "b2").alias("grp"), (F.col("b1") != F.col("b2")).alias("cross"), "blk", "rep", *w)
     links = grouped.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_links(words, within), "src long, dst long")
     found = components(links)
     named = reps.join(found, reps["rep"] == found["node"], "left").select(*w, F.coalesce("component", "rep").alias("component_id"))
