@@ -1,31 +1,23 @@
-"""Shared plumbing of the training-data operators: reading, lineage cuts, components."""
+"""Shared plumbing of the training-data operators: reading, slices, hot buckets, forests."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlens.operators.components import connected_components as components
+from graphlens.operators.components import cut
+
+__all__ = ["components", "cut", "forest", "pieces", "small_side", "split_hot", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
-
-    A folder of our own is set only where the session has none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def pieces(batches, rows: int = 1000):
     """Arrow batches in slices of ``rows``; what the pool holds goes back at the end.
 
@@ -45,30 +37,6 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(src, dst)``: ``(node, component)``, smallest id first.
-
-    Alternating large-star / small-star rounds; each round is a partial
-    aggregation plus an equi-join that AQE can split on a hot centre, and ends
-    in a reliable checkpoint. Nodes without an edge are not in the result;
-    null ends and self-loops are ignored.
-    """
-    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    e = cut(e.where("src is not null and dst is not null and u <> v").distinct())
-    seen = None
-    while True:
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen or state[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        seen = state
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        e = cut(large.join(low, "u").select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-
-
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest reachable index of each of ``n`` nodes under the links ``a[i] - b[i]``."""
     label = np.arange(n)
