@@ -30,21 +30,28 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SLICE = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]:
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1, distinct: bool = False) -> list[int]:
     """``words`` signed 64-bit fingerprint words; the first is plain SimHash over XXH64.
 
     Further words use the same shingle hashes after a fixed 64-bit mix, so
-    they are independent bits at no extra hashing cost.
+    they are independent bits at no extra hashing cost. ``distinct`` counts
+    every shingle once, as a set similarity does; else repeats count.
     """
     tokens = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not tokens:
         return [0] * words
     n = max(1, len(tokens) - shingle + 1)
     ones = np.zeros((words, 64), dtype=np.int64)
+    parts = []
     for s in range(0, n, _SLICE):
         part = tokens[s : s + _SLICE + shingle - 1]
         runs = zip(*(part[i:] for i in range(shingle))) if len(tokens) >= shingle else [tokens]
-        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs), dtype=np.uint64)
+        parts.append(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs), dtype=np.uint64))
+    if distinct:
+        h = np.unique(np.concatenate(parts))
+        n = len(h)
+        parts = [h[s : s + _SLICE] for s in range(0, n, _SLICE)]
+    for h in parts:
         for w in range(words):
             if w:
                 x = h + np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1))
@@ -57,12 +64,12 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]
     return [int(v) for v in np.packbits(ones * 2 > n, axis=1).view(np.int64)[:, 0]]
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, words: int, distinct: bool = False) -> DataFrame:
     """``(doc_id, w0, w1, ...)`` of every document's whole text."""
 
     def run(batches):
         for b in pieces(batches):
-            got = [fingerprint(t, shingle, words) for t in b.column(1).to_pylist()]
+            got = [fingerprint(t, shingle, words, distinct) for t in b.column(1).to_pylist()]
             cols = [pa.array([g[w] for g in got], pa.int64()) for w in range(words)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *(f"w{w}" for w in range(words))])
 
@@ -70,26 +77,29 @@ def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def covering_masks(radius: int, parts: int = 1) -> list[int]:
-    """Signed 64-bit masks such that any two words within ``parts*(radius+1)-1`` bits agree under one.
+def covering_masks(radius: int, parts: int = 1, words: int = 1) -> list[list[int]]:
+    """For each fingerprint word its signed 64-bit masks, ``parts`` equal parts over all words.
 
-    With 2**radius bits or fewer in a part phi(i) = 2**radius + i, a first-order
-    Reed-Muller code whose masks all keep half of the part's bits or more.
+    Any two fingerprints within ``parts * (radius + 1) - 1`` bits agree under one
+    mask. A part's bits get the non-zero vectors of radius + 1 bits in turn, a
+    simplex code, so every mask keeps about half of the part's bits.
     """
-    width, out = 64 // parts, []
+    width, out = 64 * words // parts, [[] for _ in range(words)]
     for p in range(parts):
-        if width <= 1 << radius:
-            phi = [(1 << radius) + i for i in range(width)]
-        else:
-            phi = [1 + i % ((2 << radius) - 1) for i in range(width)]
+        word, first = divmod(p * width, 64)
+        phi = [1 + i % ((2 << radius) - 1) for i in range(width)]
         for v in range(1, 2 << radius):
-            mask = sum(1 << (p * width + i) for i in range(width) if (phi[i] & v).bit_count() & 1)
-            out.append(mask - (1 << 64) if mask >> 63 else mask)
+            mask = sum(1 << (first + i) for i in range(width) if (phi[i] & v).bit_count() & 1)
+            out[word].append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
 
 def _links(words: int, within: int):
-    """mapInArrow body over rows sorted by group: a spanning forest of each group's links."""
+    """mapInArrow body over rows sorted by group and id: a spanning forest of each group's links.
+
+    Links lead to the smallest id of a component in the group, so the groups of
+    all tables agree on few centres and most links fall together.
+    """
 
     def solve(group, cross, blk, w, rep):
         n = len(rep)
@@ -132,29 +142,31 @@ def _links(words: int, within: int):
 
 
 def near_components(
-    docs: DataFrame, shingle: int = 5, words: int = 2, parts: int = 2, radius: int = 5, within: int = 22, block: int = 4096
+    docs: DataFrame, shingle: int = 5, words: int = 2, parts: int = 4, radius: int = 4, within: int = 22, block: int = 4096, distinct: bool = True
 ) -> DataFrame:
     """``(doc_id, w0..., component_id)``: near-duplicate groups of all documents.
 
     Two documents link when their ``64*words`` fingerprint bits differ in at
-    most ``within`` places and the first word in at most ``parts*(radius+1)-1``
-    (the covering guarantee). With the defaults, five-word shingles, 22 of 128
-    bits stand for a shingle similarity of 0.8 (19.4 bits expected) plus the
-    sampling error of the estimate.
+    most ``within`` places and they share a table: always up to
+    ``parts*(radius+1)-1`` bits, and beyond that where one part still differs in
+    at most ``radius``. With the defaults, five-word shingles, a shingle
+    similarity of 0.8 is 19.4 of 128 bits on average; 22 allow for part of the
+    sampling error, and the tables cover 19 of them for certain.
 
     Scale: equal fingerprints collapse by a partial aggregation; what is
     shuffled per table is a few longs; hot buckets are dealt as block pairs of
     ``block`` rows; groups return a spanning forest, never their pairs.
     """
     w = [f"w{i}" for i in range(words)]
-    prints = cut(fingerprints(docs, shingle, words))
+    prints = cut(fingerprints(docs, shingle, words, distinct))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps = cut(prints.groupBy(*w).agg(F.min("doc_id").alias("rep")).where("rep is not null").repartition(n, "rep"))
-    tables = covering_masks(radius, parts)
-    keys = F.transform(F.array(*(F.lit(m) for m in tables)), lambda m, i: F.xxhash64(i, F.col("w0").bitwiseAND(m)))
-    dealt = split_hot(reps.select(F.explode(keys).alias("bucket"), "rep", *w), reps.count() * len(tables), block)
+    masks = covering_masks(radius, parts, words)
+    key = lambda word: lambda m, i: F.xxhash64(F.lit(word), i, F.col(f"w{word}").bitwiseAND(m))
+    keys = F.concat(*(F.transform(F.array(*(F.lit(m) for m in ms)), key(word)) for word, ms in enumerate(masks)))
+    dealt = split_hot(reps.select(F.explode(keys).alias("bucket"), "rep", *w), reps.count() * sum(map(len, masks)), block)
     grouped = dealt.select(F.xxhash64("bucket", "b1", "b2").alias("grp"), (F.col("b1") != F.col("b2")).alias("cross"), "blk", "rep", *w)
-    links = grouped.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_links(words, within), "src long, dst long")
+    links = grouped.repartition(n, "grp").sortWithinPartitions("grp", "rep").mapInArrow(_links(words, within), "src long, dst long")
     found = components(links)
     named = reps.join(found, reps["rep"] == found["node"], "left").select(*w, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, w, "left").select("doc_id", *w, "component_id")
@@ -162,5 +174,5 @@ def near_components(
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: 3-word shingles, 64-bit fingerprints, links at 3 or fewer bits."""
-    got = near_components(table(spark, sf_dir, "documents"), shingle=3, words=1, parts=1, radius=3, within=3)
+    got = near_components(table(spark, sf_dir, "documents"), shingle=3, words=1, parts=1, radius=3, within=3, distinct=False)
     return got.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")

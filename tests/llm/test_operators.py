@@ -267,7 +267,7 @@ def test_simhash_against_brute_force(spark):
     base = [" ".join(r.choices(["Alpha", "beta", "gamma", "delta\n", "été", "zeta\t"], k=r.choice([0, 1, 2, 3, 40, 200]))) for _ in range(60)]
     texts = base + [b.replace("beta", "bets", 1) for b in base] + [None, "", " ", "A  b"]
     df = frame(spark, texts).withColumn("w0", F.lit(1)).withColumn("component_id", F.lit(2))
-    got = simhash.near_components(df, shingle=3, words=1, parts=1, radius=3, within=3, block=4).orderBy("doc_id").collect()
+    got = simhash.near_components(df, shingle=3, words=1, parts=1, radius=3, within=3, block=4, distinct=False).orderBy("doc_id").collect()
     fp = [plain_fingerprint(t) for t in texts]
     assert [g["w0"] & (2**64 - 1) for g in got] == fp
     label = list(range(len(fp)))
@@ -277,15 +277,15 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("radius,parts", [(3, 1), (5, 2), (2, 4)])
-def test_covering_guarantee(radius, parts):
-    masks = [m & (2**64 - 1) for m in simhash.covering_masks(radius, parts)]
-    assert len(masks) == parts * (2 ** (radius + 1) - 1)
+@pytest.mark.parametrize("radius,parts,words", [(3, 1, 1), (5, 2, 1), (2, 4, 1), (4, 4, 2)])
+def test_covering_guarantee(radius, parts, words):
+    masks = simhash.covering_masks(radius, parts, words)
+    assert sum(map(len, masks)) == parts * (2 ** (radius + 1) - 1)
+    whole = [(m & (2**64 - 1)) << (64 * w) for w, ms in enumerate(masks) for m in ms]
     r = random.Random(1)
     for _ in range(3000):
-        flips = r.sample(range(64), parts * (radius + 1) - 1)
-        x = sum(1 << b for b in flips)
-        assert any(x & m == 0 for m in masks)
+        x = sum(1 << b for b in r.sample(range(64 * words), parts * (radius + 1) - 1))
+        assert any(x & m == 0 for m in whole)
 
 
 def test_simhash_default_catches_near_copies(spark):

@@ -25,11 +25,11 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
             assert kept[name] == {i: t for i, t in want.items() if re.search(r"\w", t)}
         elif name == "near_dedup":
             ids = sorted(before)
-            fp = np.array([simhash.fingerprint(before[i], 5, 2) for i in ids]).view(np.uint64)
-            masks = np.array(simhash.covering_masks(5, 2)).view(np.uint64)
+            fp = np.array([simhash.fingerprint(before[i], 5, 2, True) for i in ids]).view(np.uint64)
+            masks = [np.array(m).view(np.uint64) for m in simhash.covering_masks(4, 4, 2)]
             label = list(range(len(ids)))
             x = fp[:, None, :] ^ fp[None]
-            near = (np.bitwise_count(x).sum(2) <= 22) & ((x[:, :, 0, None] & masks) == 0).any(2)
+            near = (np.bitwise_count(x).sum(2) <= 22) & np.any([((x[:, :, w, None] & m) == 0).any(2) for w, m in enumerate(masks)], axis=0)
             for _ in range(20):
                 label = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
             assert set(kept[name]) == {ids[i] for i in range(len(ids)) if label[i] == i}
