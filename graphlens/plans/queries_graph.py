@@ -147,7 +147,15 @@ def _(spark, d):
     return graph.hops(c.edges, spark.range(1, 2).select(F.col("id").alias("node_id")), limit=3)
 
 
-@query("graph_neighbours")
+@query(
+    "graph_neighbours",
+    """WITH s AS (SELECT citing_id AS a, cited_id AS b FROM edges UNION SELECT cited_id, citing_id FROM edges), z AS (SELECT id AS node_id, id AS neighbour, 0 AS hops FROM nodeset),
+       x AS (SELECT a AS node_id, b AS neighbour, 1 AS hops FROM s WHERE a IN (SELECT id FROM nodeset)), y1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_id ORDER BY neighbour) AS n FROM x),
+       one AS (SELECT node_id, neighbour, hops FROM y1 WHERE n <= 8), t AS (SELECT DISTINCT o.node_id, s.b AS neighbour, 2 AS hops FROM one o JOIN s ON s.a = o.neighbour),
+       u AS (SELECT t.* FROM t LEFT JOIN (SELECT * FROM z UNION ALL SELECT * FROM one) k ON k.node_id = t.node_id AND k.neighbour = t.neighbour WHERE k.node_id IS NULL),
+       v AS (SELECT * FROM z UNION ALL SELECT * FROM one UNION ALL SELECT * FROM u)
+       SELECT node_id, neighbour, hops FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_id ORDER BY hops, neighbour) AS n FROM v) w WHERE n <= 8""",
+)
 def _(spark, d):
     c = Corpus(spark, d)
     return graph.graph_neighbours(c.edges, c.nodeset.select(F.col("id").alias("node_id")), k=8, limit=2)
@@ -244,12 +252,18 @@ def _(spark, d):
 # clustering
 
 
-@query("mutual_neighbour_clusters")
+def _component_sql(k: int, link: str) -> str:
+    return f"""WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+        top AS (SELECT a, b FROM near WHERE rank <= {k}), link AS ({link}), reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+        root AS (SELECT a AS node_id, MIN(b) AS root FROM reach GROUP BY a) SELECT node_id, CAST(DENSE_RANK() OVER (ORDER BY root) - 1 AS INT) AS cluster_id FROM root"""
+
+
+@query("mutual_neighbour_clusters", _component_sql(5, "SELECT x.a, x.b FROM top x JOIN top y ON y.a = x.b AND y.b = x.a"))
 def _(spark, d):
     return cluster.mutual_knn(_nodes(Corpus(spark, d)), 5)
 
 
-@query("neighbour_components")
+@query("neighbour_components", _component_sql(8, "SELECT a, b FROM top UNION SELECT b, a FROM top"))
 def _(spark, d):
     return cluster.knn_components(_nodes(Corpus(spark, d)), 8)
 
