@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphlens.operators.components import connected_components, number_rows
 from graphlens.operators.graph import promote
+from graphlens.operators.match import KEYS, identity_edges
+from graphlens.operators.resolve import apply_merges, merge_plan
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files: int = 16) -> DataFrame:
@@ -37,6 +40,42 @@ def edges_in_batches(stream: DataFrame, papers: DataFrame, state: str, checkpoin
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_batch(old: DataFrame | None, batch: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Papers after a batch of records, and the aliases it made.
+
+    Records and papers that share an identifier, in any chain and in either
+    input, become one paper; tombstoned papers take no part. New papers get the
+    ids after the largest, in order of their identifiers.
+    """
+    cols = [*KEYS, *fields]
+    new = number_rows(batch.select(*cols), cols, "__n")
+    if old is None:
+        new = new.withColumn("id", F.col("__n") + 1)
+    else:
+        top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+        new = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__n") + 1)  # top is one row
+    new = new.select("id", *cols, F.lit(0).alias("tombstone"))
+    rows = new if old is None else old.unionByName(new)
+    found = connected_components(identity_edges(rows.where("tombstone = 0"), record_id="id"))
+    members = rows.join(found.withColumnRenamed("node", "id"), "id")
+    return apply_merges(rows, merge_plan(members.select("component", "id", *cols), fields), fields)
+
+
+def papers_in_batches(stream: DataFrame, fields: tuple[str, ...], state: str, checkpoint: str) -> StreamingQuery:
+    """Staged records stream in; every batch writes the next version of ``papers`` and ``aliases``."""
+
+    def apply(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.parquet(f"{state}/papers/v{n - 1}") if n else None
+        papers, aliases = merge_batch(old, batch, fields)
+        papers.write.mode("overwrite").parquet(f"{state}/papers/v{n}")
+        if n:
+            aliases = aliases.unionByName(spark.read.parquet(f"{state}/aliases/v{n - 1}"))
+        aliases.distinct().write.mode("overwrite").parquet(f"{state}/aliases/v{n}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_version(spark: SparkSession, state: str, name: str, n: int) -> DataFrame:
     """State table ``name`` after batch ``n``."""
     return spark.read.parquet(f"{state}/{name}/v{n}")

@@ -170,3 +170,19 @@ def test_dirty_keys(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
     b = spark.createDataFrame([(1, "x"), (2, "z"), (3, "n")], "id long, v string")
     assert sorted(r[0] for r in ingest.dirty(a, b, "id").collect()) == [2, 3]
+
+
+def test_papers_stream_merges_across_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    schema = "doi string, s2_id string, oa_id string, title string, year int"
+    run = lambda: ingest.papers_in_batches(ingest.read_stream(spark, str(src), schema, 1), ("title", "year"), str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
+    (src / "0.json").write_text('{"doi":"a","title":"A"}\n{"s2_id":"s","year":2001}\n{"doi":"z","title":"Z"}\n{"doi":"z","year":1999}\n')
+    run()
+    first = ingest.latest_version(spark, str(tmp_path / "state"), "papers", 0).where("tombstone = 0")
+    assert sorted((r["doi"] or "", r["s2_id"] or "") for r in first.collect()) == [("", "s"), ("a", ""), ("z", "")]
+    (src / "1.json").write_text('{"doi":"a","s2_id":"s","oa_id":"W"}\n')
+    run()
+    got = ingest.latest_version(spark, str(tmp_path / "state"), "papers", 1).where("tombstone = 0").collect()
+    assert sorted((r["doi"], r["s2_id"], r["oa_id"], r["title"], r["year"]) for r in got) == [("a", "s", "W", "A", 2001), ("z", None, None, "Z", 1999)]
+    assert ingest.latest_version(spark, str(tmp_path / "state"), "aliases", 1).count() == 3
