@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from graphlens.operators.components import connected_components as components
 from graphlens.operators.components import cut
 
-__all__ = ["components", "cut", "forest", "pieces", "small_side", "split_hot", "table"]
+__all__ = ["components", "cut", "forest", "give_back", "pieces", "small_batches", "small_side", "split_hot", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark send ``rows`` rows at a time to Python: whole texts are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back() -> None:
+    """Return free memory of a worker to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches, rows: int = 1000):
-    """Arrow batches in slices of ``rows``; what the pool holds goes back at the end.
+    """Arrow batches in slices of ``rows``; free memory goes back at the end.
 
     Python objects exist for one slice at a time, whatever Spark's batch size.
     """
     for b in batches:
         for s in range(0, b.num_rows, rows):
             yield b.slice(s, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
