@@ -320,3 +320,12 @@ def file_name(url: Column, n: Column) -> Column:
 def namespace(c: Column) -> Column:
     """Ten hexadecimal digits of a name's SHA-256."""
     return F.substring(F.sha2(c.cast("binary"), 256), 1, 10)
+
+
+def gradient(value: Column, stops: list[tuple[int, int, int]]) -> Column:
+    """``struct<r, g, b>``: linear between equally spaced colours for a value in 0..1."""
+    v = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * (len(stops) - 1)
+    k = F.least(F.floor(v), F.lit(len(stops) - 2)).cast("int")
+    part = lambda i: F.get(F.array(*(F.lit(float(s[i])) for s in stops)), k)
+    nxt = lambda i: F.get(F.array(*(F.lit(float(s[i])) for s in stops)), k + 1)
+    return F.struct(*(F.round(part(i) + (nxt(i) - part(i)) * (v - k)).cast("int").alias(n) for i, n in enumerate("rgb")))

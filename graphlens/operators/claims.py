@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.operators.components import number_rows
+
 #: Endpoint, service, provider, batch size, fields, precondition.
 CATALOGUE = [
     ("enrich_metadata_oa", "oa", "openalex", 50, ("abstract", "authors", "venue", "year", "pub_type"), "doi is not null and is_seed = 1"),
@@ -93,6 +95,21 @@ def current_state(attempts: DataFrame, now: str, expire: bool = True) -> DataFra
     return last.withColumn("status", F.when((F.col("status") == "claimed") & (age >= CLAIM_MINUTES * 60), "failed").otherwise(F.col("status")))
 
 
+def mark(attempts: DataFrame, keys: DataFrame, status: str, now: str) -> DataFrame:
+    """The attempt log with a new row of ``status`` for every ``(paper_id, service, field)``.
+
+    ``released`` takes the claims away instead: the log without the keys' claimed rows.
+    """
+    on = ["paper_id", "service", "field"]
+    if status == "released":
+        held = attempts.where("status = 'claimed'").join(keys, on, "left_semi")
+        return attempts.join(held, ["attempt_id"], "left_anti")
+    top = attempts.agg(F.coalesce(F.max("attempt_id"), F.lit(0)).alias("top"))
+    rows = number_rows(keys.select(*on).distinct(), on, "n").crossJoin(F.broadcast(top))  # top is one row
+    new = rows.select(*on, F.lit(status).alias("status"), F.to_timestamp(F.lit(now)).alias("claimed_at"), (F.col("top") + F.col("n") + 1).alias("attempt_id"))
+    return attempts.withColumn("claimed_at", F.col("claimed_at").cast("timestamp")).unionByName(new)
+
+
 def route(open_needs: DataFrame, calls: dict[str, int] | None = None) -> DataFrame:
     """``(paper_id, endpoint, step)``: a greedy cover of every paper's needs, within provider budgets.
 

@@ -83,6 +83,17 @@ def promote(pending: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame
     return done.where("citing_id <> cited_id").select("citing_id", "cited_id").distinct(), pending.join(done, "id", "left_anti")
 
 
+def ingest_edges(records: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New citation records as edges, and those left pending.
+
+    Unlike a promotion a self-citation stays pending, as does an end that
+    several papers match.
+    """
+    r = resolve_endpoints(records, papers)
+    done = r.where("citing_id is not null and cited_id is not null and citing_id <> cited_id")
+    return done.select("citing_id", "cited_id").distinct(), records.join(done, "id", "left_anti")
+
+
 def backfill_dois(pending: DataFrame, papers: DataFrame) -> DataFrame:
     """Pending rows with missing DOIs filled from the papers with the same id in the other scheme."""
     out = pending
@@ -198,7 +209,10 @@ def hops(edges: DataFrame, seeds: DataFrame, limit: int = 64) -> DataFrame:
 
 
 def graph_neighbours(edges: DataFrame, nodes: DataFrame, k: int = 15, limit: int = 4) -> DataFrame:
-    """``(node_id, neighbour, hops)``: each node first, then others by hop distance, smallest id first, k in all."""
+    """``(node_id, neighbour, hops)``: each node first, then others by hop distance, smallest id first, k in all.
+
+    A node with fewer than k within ``limit`` hops keeps fewer; nothing is padded at random.
+    """
     pairs = cut(_symmetric(edges))
     seen = cut(nodes.select("node_id", F.col("node_id").alias("neighbour"), F.lit(0).alias("hops")))
     layer, w = seen, Window.partitionBy("node_id").orderBy("hops", "neighbour")

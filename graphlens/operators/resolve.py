@@ -141,3 +141,10 @@ def keep_longer(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
     """Longest text of each key, the first in ``order`` among equals."""
     best = F.max(F.struct(F.length(text).alias("n"), (-F.col(order)).alias("o"), F.col(text).alias("t")))["t"]
     return rows.where(F.col(text).isNotNull()).groupBy(key).agg(best.alias(text))
+
+
+def conflict_log(resolved: DataFrame, observations: DataFrame, now: str) -> DataFrame:
+    """Rows for the conflict log: every observed value that differs from a conflicted field's value."""
+    o = latest(observations).where("value is not null").select("paper_id", "field", F.col("value").alias("proposed_value"), F.col("source").alias("proposed_source"))
+    hit = resolved.where("conflict").select("paper_id", "field", F.col("value").alias("existing_value"))
+    return o.join(hit, ["paper_id", "field"]).where("proposed_value <> existing_value").withColumn("discovered_at", F.to_timestamp(F.lit(now)))

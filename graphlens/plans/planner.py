@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -96,6 +97,20 @@ def check_vectors(vectors, d: int) -> None:
         raise ValueError("vectors of another length, or with numbers that are none")
 
 
+def save_recipe(steps: list[dict]) -> str:
+    """Steps ``{"id", "params"}`` as JSON with sorted keys."""
+    return json.dumps({"version": 1, "steps": steps}, sort_keys=True)
+
+
+def load_recipe(text: str, registry: Registry) -> list[dict]:
+    """Steps of a recipe; an unknown algorithm or parameter is an error."""
+    steps = json.loads(text)["steps"]
+    for s in steps:
+        if s["id"] not in registry.entries or set(s["params"]) - set(registry.entries[s["id"]]["params"]):
+            raise ValueError(f"unknown step {s}")
+    return steps
+
+
 def algorithms() -> Registry:
     """The engine's clustering algorithms."""
     from graphlens.operators import cluster

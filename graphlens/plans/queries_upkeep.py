@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphlens.functions import text as X
-from graphlens.operators import graph, maintenance, match
+from graphlens.operators import claims, graph, maintenance, match, resolve
 from graphlens.plans.views import Corpus
 from graphlens.registry import query
 from graphlens.sources import records
@@ -177,3 +177,34 @@ def _(spark, d):
 def _(spark, d):
     day = F.col("o_orderdate").cast("date").cast("string")
     return Corpus(spark, d).orders.select("o_orderkey", X.year_of(day).alias("year"), X.month_of(day).alias("month"))
+
+
+@query("conflict_log", "SELECT id AS paper_id, title AS existing_value, LOWER(SUBSTR(title, 1, 20)) AS proposed_value, 's2_live' AS proposed_source FROM papers WHERE id % 4 = 0 AND LOWER(title) <> LOWER(SUBSTR(title, 1, 20))")
+def _(spark, d):
+    p = Corpus(spark, d).papers.where("id % 4 = 0")
+    row = lambda v, s: p.select(F.col("id").alias("paper_id"), F.lit("title").alias("field"), v.alias("value"), F.lit(s).alias("source"), F.lit(None).cast("string").alias("pub_type_hint"), F.lit(1).alias("observed_at"))
+    o = row(F.col("title"), "s2_hop").unionAll(row(F.lower(F.substring("title", 1, 20)), "s2_live"))
+    return resolve.conflict_log(resolve.resolve_fields(o), o, "2024-01-01 00:00:00").select("paper_id", "existing_value", "proposed_value", "proposed_source")
+
+
+_ENDS = """WITH h AS (SELECT DISTINCT k.id, p.id AS p FROM pending k JOIN papers p ON p.doi = k.citing_doi OR p.s2_id = k.citing_s2_id), a AS (SELECT id, MIN(p) AS p FROM h GROUP BY id HAVING COUNT(*) = 1),
+       i AS (SELECT DISTINCT k.id, p.id AS p FROM pending k JOIN papers p ON p.doi = k.cited_doi OR p.s2_id = k.cited_s2_id OR p.oa_id = k.cited_oa_id), b AS (SELECT id, MIN(p) AS p FROM i GROUP BY id HAVING COUNT(*) = 1)"""
+
+
+@query("ingested_edges_left", f"{_ENDS} SELECT k.id FROM pending k LEFT JOIN a ON a.id = k.id LEFT JOIN b ON b.id = k.id WHERE a.p IS NULL OR b.p IS NULL OR a.p = b.p")
+def _(spark, d):
+    c = Corpus(spark, d)
+    return graph.ingest_edges(c.pending, c.papers)[1].select("id")
+
+
+@query("marked_attempts", "SELECT status, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT status FROM attempts UNION ALL SELECT 'claimed' FROM (SELECT DISTINCT paper_id, service, field FROM attempts WHERE paper_id < 10) k) t GROUP BY status")
+def _(spark, d):
+    a = Corpus(spark, d).attempts
+    return claims.mark(a, a.where("paper_id < 10"), "claimed", "2024-02-01 00:00:00").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("gradient_colours", "SELECT id, CAST(ROUND(255 * (year - 1990) / 40.0) AS INT) AS r, CAST(255 - ROUND(255 * (year - 1990) / 40.0) AS INT) AS b FROM papers WHERE (year - 1990) % 8 = 0")
+def _(spark, d):
+    p = Corpus(spark, d).papers.where("(year - 1990) % 8 = 0")
+    g = X.gradient((F.col("year") - 1990) / 40.0, [(0, 0, 255), (255, 0, 0)])
+    return p.select("id", g["r"].alias("r"), g["b"].alias("b"))

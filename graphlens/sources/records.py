@@ -179,6 +179,17 @@ def snapshot(papers: DataFrame, edges: DataFrame, vectors: DataFrame, path: str)
     return manifest
 
 
+def subset(papers: DataFrame, edges: DataFrame, vectors: DataFrame, predicate: Column, path: str) -> dict:
+    """Bundle of the selected part of the node set; selected papers without a vector become structural."""
+    return snapshot(papers.where(predicate), edges, vectors, path)
+
+
+def backup(tables: dict[str, DataFrame], path: str) -> None:
+    """Copies of whole tables, each under its name; a reader sees a table only once it is complete."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def subset_index(spark: SparkSession, path: str) -> DataFrame:
     """Manifests of all bundles under ``path`` with their folder."""
     return spark.read.json(f"{path}/*/manifest").withColumn("bundle", F.regexp_extract(F.input_file_name(), r"([^/]+)/manifest/", 1))

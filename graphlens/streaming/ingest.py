@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from graphlens.operators.components import connected_components, number_rows
 from graphlens.operators.graph import promote
@@ -92,3 +92,28 @@ def dirty(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
 def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Count and sum of values by window and type. Beyond the reference: it has no event time."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+class Progress(StreamingQueryListener):
+    """Counters of running streams: rows and batches by query, in the order they report."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        """A stream began."""
+        self.rows.setdefault(str(event.id), 0)
+        self.batches.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        """A batch ended."""
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+        self.batches[key] = self.batches.get(key, 0) + 1
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        """Nothing to count."""
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        """Nothing to count."""

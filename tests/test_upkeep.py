@@ -46,3 +46,48 @@ def test_rewiring_keeps_the_ends(spark):
     new = maintenance.rewired(pairs)
     assert new.count() == 500 and new.join(pairs, ["a", "b"]).count() < 100
     assert new.agg(F.sum("b")).first()[0] == pairs.agg(F.sum("b")).first()[0]
+
+
+def test_absorbing_noise_leaves_none(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal((30, 2)) * 0.2, rng.standard_normal((30, 2)) * 0.2 + 6, rng.uniform(-3, 9, (10, 2))])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node_id long, vec array<double>")
+    got = [r["cluster_id"] for r in cluster.hdbscan(v, 4, 8, noise="absorb")[0].orderBy("node_id").collect()]
+    assert set(got) == {0, 1} and len(set(got[:30])) == len(set(got[30:60])) == 1
+
+
+def test_lowest_pass():
+    h = cluster.Hierarchy(5, [(0, 1, 1.0), (1, 2, 5.0), (2, 3, 2.0), (3, 4, 3.0)], 2)
+    assert h._lowest_pass([0, -1, -1, -1, 1], [(0, 1, 1.0), (1, 2, 5.0), (2, 3, 2.0), (3, 4, 3.0)]) == [0, 0, 1, 1, 1]
+
+
+def test_marks_and_release(spark):
+    from graphlens.operators import claims
+
+    a = spark.createDataFrame([(1, "oa", "year", "claimed", "2024-01-01 00:00:00", 5), (2, "oa", "year", "failed", "2024-01-01 00:00:00", 6)], "paper_id long, service string, field string, status string, claimed_at string, attempt_id long")
+    keys = a.where("paper_id = 1").select("paper_id", "service", "field")
+    assert claims.mark(a, keys, "released", "x").count() == 1
+    out = claims.mark(a, keys, "succeeded", "2024-01-01 00:10:00")
+    assert claims.current_state(out, "2024-01-01 00:20:00").where("paper_id = 1").first()["status"] == "succeeded"
+
+
+def test_bundles_and_recipes(spark, sf_dir, tmp_path):
+    import pytest
+
+    from graphlens.plans import planner
+    from graphlens.plans.views import Corpus
+    from graphlens.sources import records
+
+    c = Corpus(spark, sf_dir)
+    v = c.table("embeddings").select((F.col("vec_id") + 1).alias("node_id"), F.col("embedding").alias("vec"))
+    m = records.subset(c.papers, c.edges, v, F.col("year") < 2000, str(tmp_path / "s"))
+    assert m["year_max"] < 2000 and m["nodes"] > 0
+    records.backup({"edges": c.edges}, str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy" / "edges")).count() == c.edges.count()
+    r = planner.algorithms()
+    steps = [{"id": "mutual-knn", "params": {"k": 3}}]
+    assert planner.load_recipe(planner.save_recipe(steps), r) == steps
+    with pytest.raises(ValueError):
+        planner.load_recipe(planner.save_recipe([{"id": "none", "params": {}}]), r)
