@@ -71,9 +71,9 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, coun
 
     A column of ``docs`` named ``count`` gives way.
 
-    Hashes alone are shuffled to find repeats; texts move once to their
-    candidates and once to the verified removals, by doc_id; chunk bytes move
-    only for chunks that repeat.
+    Hashes alone are shuffled to find repeats; texts move once, by doc_id, for
+    both the byte comparison and the removal; chunk bytes move only for chunks
+    that repeat.
     """
 
     def hashed(batches):
@@ -86,23 +86,28 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, coun
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "place", "h1", "h2"])
 
-    keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(keyed.mapInArrow(hashed, "doc_id long, place long, h1 long, h2 long"))
+    names = [c for c in docs.columns if c != count]
+    base = docs.select(*names)
+    if dict(docs.dtypes)["text"] != "string":  # no projection otherwise: it would keep the shuffles below from being one
+        base = base.withColumn("text", F.col("text").cast("string"))
+    known = base.where("doc_id is not null")  # both joins below read one shuffle of these rows
+    found = cut(known.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, place long, h1 long, h2 long"))
     repeats = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
     seen = found.join(repeats, ["h1", "h2"]).withColumn("leads", F.struct("doc_id", "place") == F.col("first"))
-    asked = seen.groupBy("doc_id").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("leads"), F.col("place"))).alias("leading"))
+    asked = seen.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("place").alias("__places"), F.collect_set(F.when(F.col("leads"), F.col("place"))).alias("__leading"))
+    asked = cut(asked)
 
     def bodies(batches):
         for b in pieces(batches):
             rows = []
-            for d, t, places, leading in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "places", "leading"))):
+            for d, t, places, leading in zip(*(b.column(c).to_pylist() for c in ("__id", "text", "__places", "__leading"))):
                 want, leads = set(places), set(leading)
                 rows += [(d, p, *_hash(c), p in leads, c) for p, c in _eligible(t, spacing, long_words) if p in want]
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "place", "h1", "h2", "leads", "chunk"])
 
-    held = cut(keyed.join(asked, "doc_id").mapInArrow(bodies, "doc_id long, place long, h1 long, h2 long, leads boolean, chunk binary"))
+    held = known.join(asked, F.col("doc_id") == F.col("__id")).mapInArrow(bodies, "doc_id long, place long, h1 long, h2 long, leads boolean, chunk binary")
     lead = held.where("leads").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "chunk")).alias("lead"))
     same = held.where("not leads").join(lead, ["h1", "h2"]).where(F.col("chunk") == F.col("lead.chunk"))
     gone = same.groupBy("doc_id").agg(F.collect_set("place").alias("__gone"))
@@ -121,9 +126,9 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, coun
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*names, count])
 
-    names = [c for c in docs.columns if c != count]
-    base = docs.select(*names).withColumn("text", F.col("text").cast("string"))
-    joined = base.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    gone = gone.withColumnRenamed("doc_id", "__id")
+    joined = known.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    joined = joined.unionAll(base.where("doc_id is null").withColumn("__gone", F.lit(None).cast("array<long>")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     return joined.mapInArrow(rewrite, f"{schema}, `{count}` long")
 
