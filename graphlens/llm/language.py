@@ -85,13 +85,15 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = 1000, features: int = 60_000) -> Model:
-    """Learn from ``labelled(text, lang)``: a sample of at most ``sample`` rows, ``features`` counts at most.
+    """Learn from ``labelled(text, lang)``: at most ``sample`` distinct rows, ``features`` counts.
 
-    The rows with the smallest hash of their text are taken, a choice that
-    needs one bounded top-k and doesn't depend on the input's order.
+    The rows with the smallest hashes are taken, a choice that doesn't depend
+    on the input's order. Their greatest hash is found first, from hashes
+    alone, so no text but the sample's is moved.
     """
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    rows = rows.withColumn("h", F.xxhash64("text", "lang")).orderBy("h", "lang", "text").limit(sample).drop("h").repartition(16, "text")
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang").withColumn("h", F.xxhash64("text", "lang"))
+    top = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(top).cast("long")).dropDuplicates(["h"]).select("text", "lang").repartition(16, "text")
 
     def count(batches):
         words: Counter = Counter()
