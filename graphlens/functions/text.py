@@ -158,8 +158,12 @@ STOPWORDS = "the and for with that this from are was were has have had not but i
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of ASCII letters and digits of three or more characters, stop words left out."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: (F.length(x) >= 3) & ~F.array_contains(stop, x))
+    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), is_term)
+
+
+def is_term(word: Column) -> Column:
+    """Whether a word has three characters or more and is no stop word."""
+    return (F.length(word) >= 3) & ~word.isin(*STOPWORDS)
 
 
 def ngrams(words: Column, top: int) -> Column:
