@@ -8,6 +8,10 @@ least two lines, or of one long line, are compared over all documents: 128-bit
 hashes propose equal chunks, equal bytes confirm them, and all but the first
 (smallest doc_id, then place) are removed with their newlines.
 
+Chunks miss passages whose ends they don't share, so with ``whole`` every
+shortest run of lines that reaches ``long_words`` words is compared the same
+way: a line goes when it lies in a run of that many words that occurs earlier.
+
 Edge cases: null text stays null and empty text empty; a text whose chunks all
 occur earlier becomes empty; repeated rows with one doc_id count as one
 document for what comes first, so they keep the same chunks; rows with a null
@@ -17,7 +21,8 @@ extra columns pass through whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
+import struct
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -51,37 +56,83 @@ def chunks(text: str, spacing: int = 3, long_words: int = 50) -> list[tuple[int,
     return out
 
 
-def _eligible(text: str | None, spacing: int, long_words: int):
-    """``(place, bytes)`` of the chunks that may be removed."""
+def passages(lines: list[str], words: int = 50) -> set[tuple[int, int]]:
+    """``(first line, end line)`` of the shortest runs from, and up to, each line that hold ``words`` words.
+
+    Runs begin and end on a line with a word. Any run of ``words`` words or
+    more is the union of the shortest ones inside it, so a passage that occurs
+    twice is found line by line, whatever surrounds it.
+    """
+    full, total = [], [0]
+    for i, x in enumerate(lines):
+        if n := len(x.split()):
+            full.append(i)
+            total.append(total[-1] + n)
+    out, a = set(), 0
+    for b in range(1, len(total)):
+        if total[b] - total[a] >= words:
+            while total[b] - total[a + 1] >= words:  # the shortest run from each of these lines ends here
+                out.add((full[a], full[b - 1] + 1))
+                a += 1
+            out.add((full[a], full[b - 1] + 1))
+    return out
+
+
+def _spans(text: str | None, spacing: int, long_words: int, whole: bool):
+    """``(place, h1, h2)`` of the runs of lines that may be removed; a place holds first and end line."""
     if text is None:
         return
     lines = text.split("\n")
-    for place, (s, e, ok) in enumerate(chunks(text, spacing, long_words)):
-        if ok and any(x.strip() for x in lines[s:e]):
-            yield place, "\n".join(lines[s:e]).encode("utf-8", "replace")
+    found = {(s, e) for s, e, ok in chunks(text, spacing, long_words) if ok and any(x.strip() for x in lines[s:e])}
+    if whole:
+        found |= passages(lines, long_words)
+    if found:
+        digests = _digests(lines)
+        for s, e in found:
+            yield s << 32 | e, *_hash(digests, s, e)
 
 
-def _hash(chunk: bytes) -> tuple[int, int]:
-    d = np.frombuffer(xxhash.xxh3_128_digest(chunk), dtype=np.int64)
-    return int(d[0]), int(d[1])
+def _lines(place: int) -> tuple[int, int]:
+    return place >> 32, place & (2**32 - 1)
+
+
+def _digests(lines: list[str]) -> bytes:
+    return b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines)
+
+
+def _hash(digests: bytes, s: int, e: int) -> tuple[int, int]:
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(digests[16 * s : 16 * e]))
+
+
+def _cover(places) -> list[int]:
+    """Some of ``places`` that hold the same lines, no line in more than two of them."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(map(_lines, places), key=lambda x: (x[0], -x[1])):
+        if out and e <= out[-1][1]:
+            continue
+        while len(out) > 1 and out[-2][1] >= s:
+            out.pop()
+        out.append((s, e))
+    return [s << 32 | e for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, count: str = "lines_removed") -> DataFrame:
+def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, count: str = "lines_removed", whole: bool = False) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text`` and the number of removed lines added as ``count``.
 
-    A column of ``docs`` named ``count`` gives way.
+    ``whole`` also removes every passage of ``long_words`` words that occurs
+    earlier, wherever chunks end. A column of ``docs`` named ``count`` gives way.
 
     Hashes alone are shuffled to find repeats; texts move once, by doc_id, for
-    both the byte comparison and the removal; chunk bytes move only for chunks
-    that repeat.
+    both the byte comparison and the removal; bytes move only for runs that
+    repeat, of a later occurrence no line more than twice.
     """
 
     def hashed(batches):
         for b in pieces(batches):
             rows = [
-                (d, place, *_hash(c))
+                (d, *span)
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                for place, c in _eligible(t, spacing, long_words)
+                for span in _spans(t, spacing, long_words, whole)
             ]
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "place", "h1", "h2"])
@@ -101,8 +152,13 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, coun
         for b in pieces(batches):
             rows = []
             for d, t, places, leading in zip(*(b.column(c).to_pylist() for c in ("__id", "text", "__places", "__leading"))):
-                want, leads = set(places), set(leading)
-                rows += [(d, p, *_hash(c), p in leads, c) for p, c in _eligible(t, spacing, long_words) if p in want]
+                if t is None:
+                    continue
+                lines, leads = t.split("\n"), set(leading)
+                digests = _digests(lines)
+                for p in [*leads, *_cover(set(places) - leads)]:
+                    s, e = _lines(p)
+                    rows.append((d, p, *_hash(digests, s, e), p in leads, "\n".join(lines[s:e]).encode("utf-8", "replace")))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "place", "h1", "h2", "leads", "chunk"])
@@ -118,10 +174,12 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, coun
             for t, drop in zip(b.column("text").to_pylist(), b.column("__gone").to_pylist()):
                 counts.append(0)
                 if t is not None and drop:
-                    drop, lines = set(drop), t.split("\n")
-                    tiles = chunks(t, spacing, long_words)
-                    counts[-1] = sum(e - s for p, (s, e, _) in enumerate(tiles) if p in drop)
-                    t = "\n".join(x for p, (s, e, _) in enumerate(tiles) if p not in drop for x in lines[s:e])
+                    lines = t.split("\n")
+                    kept = [True] * len(lines)
+                    for s, e in map(_lines, drop):
+                        kept[s:e] = [False] * len(kept[s:e])
+                    counts[-1] = len(lines) - sum(kept)
+                    t = "\n".join(x for x, k in zip(lines, kept) if k)
                 texts.append(t)
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*names, count])
@@ -134,6 +192,6 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, coun
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without repeated multi-line chunks: doc_id, text, lines_removed."""
+    """All documents without repeated multi-line chunks and passages: doc_id, text, lines_removed."""
     small_batches(spark)
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)

@@ -359,6 +359,32 @@ def test_line_dedup_against_brute_force(spark):
     assert got == plain_line_dedup(rows)
 
 
+def test_line_dedup_finds_passages_wherever_chunks_end(spark):
+    r = random.Random(9)
+    own = lambda: [" ".join(f"{r.random():.9f}" for _ in range(r.choice([1, 4, 9]))) for _ in range(r.randint(1, 4))] + [""] * r.randint(0, 2)
+    shared = [[" ".join(f"s{j}n{i}w{w}" for w in range(-(-52 // k))) for i in range(k)] for j, k in enumerate([*range(2, 9)] * 3)]
+    shared += [[" ".join(["long"] * 60), "tail a", "tail b"], ["repeat " * 30] * 4, ["x", "", "y " * 49], ["too few"] + ["words here"] * 3]
+    rows = {i: "\n".join(own() + p + own()) for i, p in enumerate(p for p in shared for _ in range(3))}
+    lines = {i: t.split("\n") for i, t in rows.items()}
+    first, gone = {}, set()
+    for i, x in lines.items():  # every run of 50 words, in order
+        for s in range(len(x)):
+            for e in range(s + 1, len(x) + 1):
+                run = tuple(x[s:e])
+                if len(" ".join(run).split()) >= 50 and run[0].strip() and run[-1].strip() and first.setdefault(run, (i, s)) != (i, s):
+                    gone |= {(i, n) for n in range(s, e)}
+    by_chunk, seen = set(), {}
+    for i, t in rows.items():
+        for p, (s, e, ok) in enumerate(line_dedup.chunks(t)):
+            c = tuple(lines[i][s:e])
+            if ok and any(c) and seen.setdefault(c, (i, p)) != (i, p):
+                by_chunk |= {(i, n) for n in range(s, e)}
+    assert len(gone - by_chunk) > 100  # what chunks alone leave in
+    got = line_dedup.remove_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), whole=True).collect()
+    assert {x["doc_id"]: x["text"] for x in got} == {i: "\n".join(v for n, v in enumerate(x) if (i, n) not in gone | by_chunk) for i, x in lines.items()}
+    assert sum(x["lines_removed"] for x in got) == len(gone | by_chunk)
+
+
 def test_line_chunks_shift_resistant_and_passages_found(spark):
     passage = " ".join(f"p{i}" for i in range(55))
     block = "\n".join(f"repeated line number {i} of some length" for i in range(40))
