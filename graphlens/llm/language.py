@@ -8,7 +8,7 @@ of its n-grams, add-one smoothed, times the square root of its length.
 Predict: a word's script (from code-point ranges) keeps only the languages
 learned with that script as candidates; Viterbi over the words' scores with a
 switching penalty labels every word, so runs of one label are the spans of a
-mixed-language text. The text's language is the label with most letters; the
+mixed-language text; a word of more than 64 letters is several steps. The text's language is the label with most letters; the
 score is that label's share of letters times its words' mean posterior.
 
 Edge cases: null text or text without a letter is ``und`` with score 0 and no
@@ -20,7 +20,9 @@ empty tables give empty results; very long texts are labelled in full.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +43,51 @@ _SCRIPTS = [
 _STARTS = np.array([s for s, _ in _SCRIPTS])
 #: Distinct words kept with their scores in a worker.
 _MEMO = 150_000
+#: Letters of a Viterbi step; a longer run without spaces is cut into steps, none of its letters is left out.
+_STEP = 64
+
+
+def steps(word: str) -> list[str]:
+    """``word``, or the consecutive pieces of a word of more than ``_STEP`` letters.
+
+    A piece begins with a zero, then its part of the word between boundary
+    marks and the two characters after it, so the n-grams that begin in the
+    pieces are those of the whole word.
+    """
+    if len(word) <= _STEP:
+        return [word]
+    w, n = f"^{word}$", len(word)
+    return ["\0" + (w[s:] if s + _STEP >= n else w[s : s + _STEP + 2]) for s in range(0, n, _STEP)]
+
+
+def letters(step: str) -> int:
+    """Letters of a word or of a long word's piece."""
+    if step[0] != "\0":
+        return len(step)
+    return len(step) - 2 if step[-1] == "$" else _STEP - (step[1] == "^")
+
+
+def places(m: re.Match) -> list[tuple[int, int]]:
+    """Start and end of each step of the word found by ``m``."""
+    low = m[0].lower()
+    if len(low) <= _STEP:
+        return [m.span()]
+    ends = list(accumulate(len(c.lower()) for c in m[0]))
+    cuts = [0, *(bisect_right(ends, s - 1) for s in range(_STEP, len(low), _STEP)), len(m[0])]
+    return [(m.start() + i, m.start() + j) for i, j in zip(cuts, cuts[1:])]
 
 
 def script(word: str) -> str:
-    """Script of a word's first letter."""
-    return _SCRIPTS[int(np.searchsorted(_STARTS, ord(word[0]), side="right")) - 1][1]
+    """Script of the first letter of a word or piece."""
+    return _SCRIPTS[int(np.searchsorted(_STARTS, ord(word.lstrip("\0^")[0]), side="right")) - 1][1]
 
 
 def grams(word: str) -> list[str]:
-    """Character 2- and 3-grams of a word between boundary marks."""
-    w = f"^{word}$"
-    return [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
+    """Character 2- and 3-grams of a word between boundary marks, or those that begin in a piece."""
+    w, own = (word[1:], _STEP) if word[0] == "\0" else (f"^{word}$", len(word) + 2)
+    if w[-1] == "$":
+        own = len(w)
+    return [w[i : i + n] for n in (2, 3) for i in range(min(own, len(w) - n + 1))]
 
 
 class Model:
@@ -68,7 +104,7 @@ class Model:
         get = self.rows.get
         flat, sizes = [], []
         for w in words:
-            got = [get(g, 0) for g in grams(w[:64])]
+            got = [get(g, 0) for g in grams(w)]
             flat += got
             sizes.append(len(got))
         n = np.array(sizes)
@@ -76,7 +112,7 @@ class Model:
         s = sums / n[:, None] * np.sqrt(n / 2)[:, None]
         s -= s.max(axis=1, keepdims=True)
         for i, w in enumerate(words):
-            known = self.scripts.get(script(w)) if not w[0].isascii() or len(self.scripts) > 1 else None
+            known = self.scripts.get(script(w)) if not w.lstrip("\0^")[0].isascii() or len(self.scripts) > 1 else None
             if known is not None and len(known) < len(self.langs):
                 row = np.full(len(self.langs), -50.0)
                 row[known] = s[i, known] - s[i, known].max()
@@ -102,9 +138,10 @@ def fit(labelled: DataFrame, sample: int = 1000, features: int = 60_000) -> Mode
                 words.update((lang, w) for w in _WORD.findall(t.lower()))
         got: Counter = Counter()
         for (lang, w), n in words.items():
-            got[lang, "", script(w)] += n
-            for g in grams(w[:64]):
-                got[lang, g, ""] += n
+            for step in steps(w):
+                got[lang, "", script(step)] += n
+                for g in grams(step):
+                    got[lang, g, ""] += n
         keys = list(got)
         for s in range(0, len(keys), 10_000):
             part = keys[s : s + 10_000]
@@ -197,10 +234,12 @@ def _predict(model: Model, penalty: float, spans: bool, names: tuple[str, ...],
             for t in texts if k else [""] * len(texts):
                 t = t or ""
                 words = [w.lower() for w in _WORD.findall(t)] if "\u0130" in t else _WORD.findall(t.lower())
+                if max(map(len, words), default=0) > _STEP:
+                    words = [x for w in words for x in steps(w)]
                 at.append(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)))
             new = list(index)[len(known) :]
             known = np.concatenate([known, model.words(new)])
-            size = np.concatenate([size, np.fromiter(map(len, new), dtype=np.int64, count=len(new))])
+            size = np.concatenate([size, np.fromiter(map(letters, new), dtype=np.int64, count=len(new))])
             post = np.exp(known)
             post /= post.sum(axis=1, keepdims=True)
             langs, scores, runs = [], [], []
@@ -217,9 +256,9 @@ def _predict(model: Model, penalty: float, spans: bool, names: tuple[str, ...],
                 langs.append(model.langs[best])
                 scores.append(float(share[best] / share.sum() * np.average(post[a[mine], best], weights=n[mine])))
                 if spans:
-                    places = [(m.start(), m.end()) for m in _WORD.finditer(t)]
+                    spots = [x for m in _WORD.finditer(t) for x in places(m)]
                     cuts = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)]
-                    runs.append([{"start": places[s][0], "end": places[e - 1][1], "lang": model.langs[y[s]]} for s, e in zip(cuts, cuts[1:])])
+                    runs.append([{"start": spots[s][0], "end": spots[e - 1][1], "lang": model.langs[y[s]]} for s, e in zip(cuts, cuts[1:])])
             cols = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))

@@ -249,6 +249,22 @@ def test_scripts():
     assert [language.script(w) for w in ("abc", "Это", "日本", "שלום", "한국")] == ["Latn", "Cyrl", "Hani", "Hebr", "Hang"]
 
 
+def test_language_reads_long_runs_to_their_end(spark):
+    for n in (1, 63, 64, 65, 66, 127, 128, 129, 130, 1000):
+        word = "".join(chr(97 + i * i % 23) for i in range(n))
+        parts = language.steps(word)
+        marked = f"^{word}$"
+        assert sorted(g for x in parts for g in language.grams(x)) == sorted(marked[i : i + k] for k in (2, 3) for i in range(n + 3 - k))
+        assert sum(map(language.letters, parts)) == n and max(map(language.letters, parts)) <= 65
+    rows = [(0, "abcab" * 30, "xx"), (1, "a" * 64 + "vwzvw" * 30, "yy"), (2, "abcab cabca bcabc", "xx"), (3, "vwzvw zvwzv wzvwz", "yy")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "abc" * 30 + "vwz" * 200  # most letters come after the 64th
+    got = language.predict(frame(spark, [text, "İ" * 100]), model, spans=True).orderBy("doc_id").collect()
+    assert got[0]["lang_pred"] == "yy" and [x["lang"] for x in got[0]["spans"]] == ["xx", "yy"]
+    assert got[0]["spans"][0]["start"] == 0 and got[0]["spans"][0]["end"] == got[0]["spans"][1]["start"] and got[0]["spans"][1]["end"] == len(text)
+    assert got[1]["spans"][0]["start"] == 0 and got[1]["spans"][-1]["end"] == 100
+
+
 # 7
 
 
