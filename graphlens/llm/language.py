@@ -296,6 +296,16 @@ def predict(docs: DataFrame, model: Model, penalty: float = 4.0, spans: bool = F
     return base.mapInArrow(_predict(model, penalty, spans, names), f"{schema}, {added}")
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, by the rule that finds words."""
+
+    def run(batches):
+        for b in pieces(batches):
+            yield b.filter(pa.array([t is not None and _WORD.search(t) is not None for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     """Whether a document is kept out of the fit: crc32 of its id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -43,3 +43,12 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         docs = out
     run = corpus_pipeline.run(spark, sf_dir)
     assert run.count() == docs.count()
+
+
+def test_language_stage_without_labels_keeps_texts(spark, sf_dir):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["some text", None, "", "12 3", "日本"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify(spark, docs, sf_dir).collect()) == [0, 4]
+    labelled = docs.withColumn("doc_id", docs["doc_id"] + 100).withColumn("lang", docs["text"])
+    out = labelled.where(language.held_out(labelled["doc_id"]))
+    assert {r["doc_id"] for r in corpus_pipeline.identify(spark, out, sf_dir).collect()} == {r["doc_id"] for r in out.where("doc_id in (100, 104)").collect()}
