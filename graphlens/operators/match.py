@@ -56,28 +56,37 @@ def identity_edges(records: DataFrame, keys=KEYS, record_id: str = "idx") -> Dat
     return ids.join(first, ["k", "v"]).select("src", "dst").where("src <> dst").distinct()
 
 
-def title_match(probes: DataFrame, papers: DataFrame, least: float = 0.85, hits: int = 3, same_year: bool = False) -> DataFrame:
+def title_match(probes: DataFrame, papers: DataFrame, least: float = 0.85, hits: int = 3, same_year: bool = False, frequent: int = 1000) -> DataFrame:
     """``(probe, paper, ratio)``: best title of at least ``least`` similarity among ``hits`` candidates.
 
     Candidates share a rare word: words are blocked by document frequency and
-    each probe title looks up its rarest ones, so frequent words make no pairs.
+    each probe title looks up its rarest ones. Equal titles are joined first and
+    papers of one title count once. A probe whose words all occur in more than
+    ``frequent`` titles is compared with every title of fitting length that
+    shares one of them.
     ``probes(idx, title[, year])``, ``papers(id, title[, year])``.
     """
     q = papers.select(F.col("id").alias("paper"), normalise_title("title").alias("pt"), *([F.col("year").alias("py")] if same_year else []))
     p = probes.select(F.col("idx").alias("probe"), normalise_title("title").alias("qt"), *([F.col("year").alias("qy")] if same_year else []))
+    year = ["py"] if same_year else []
+    q = q.where("length(pt) > 0").groupBy("pt", *year).agg(F.min("paper").alias("paper"))
+    fits = (lambda d: d.where("qy is null or py is null or qy = py")) if same_year else (lambda d: d)
+    equal = fits(p.join(q, F.col("qt") == F.col("pt"))).groupBy("probe").agg(F.min("paper").alias("paper"))
+    p = p.join(equal.select("probe"), "probe", "left_anti")
     words = lambda d, i, t: d.select(i, F.explode(F.array_distinct(F.split(t, " "))).alias("w")).where("length(w) > 2")
     held = words(q, "paper", "pt")
     rare = held.groupBy("w").agg(F.count("*").alias("df"))
     w = Window.partitionBy("probe").orderBy("df", "w")
-    asked = words(p, "probe", "qt").join(rare, "w").withColumn("n", F.row_number().over(w)).where("n <= 4 and df <= 1000")
-    shared = asked.join(held, "w").groupBy("probe", "paper").agg(F.sum(1 / F.col("df")).alias("weight"))
+    asked = words(p, "probe", "qt").join(rare, "w").withColumn("n", F.row_number().over(w)).where("n <= 4").withColumn("least", F.min("df").over(Window.partitionBy("probe")))
+    shared = asked.join(held, "w").groupBy("probe", "paper").agg(F.sum(1 / F.col("df")).alias("weight"), F.min("least").alias("least"))
     top = Window.partitionBy("probe").orderBy(F.desc("weight"), "paper")
-    pairs = shared.withColumn("n", F.row_number().over(top)).where(F.col("n") <= hits)
-    scored = pairs.join(p, "probe").join(q, "paper").withColumn("ratio", title_ratio("qt", "pt")).where(F.col("ratio") >= least)
-    if same_year:
-        scored = scored.where("qy is null or py is null or qy = py")
+    pairs = shared.withColumn("n", F.row_number().over(top)).where((F.col("n") <= hits) | (F.col("least") > frequent))
+    shorter, longer = F.least(F.length("qt"), F.length("pt")), F.greatest(F.length("qt"), F.length("pt"))
+    near = fits(pairs.drop("least").join(p, "probe").join(q, "paper")).where(2 * shorter >= (least - 1e-9) * (shorter + longer))
+    scored = near.withColumn("ratio", title_ratio("qt", "pt")).where(F.col("ratio") >= least)
     best = scored.groupBy("probe").agg(F.max(F.struct("ratio", (-F.col("paper")).alias("p"))).alias("b"))
-    return best.select("probe", (-F.col("b.p")).alias("paper"), F.col("b.ratio").alias("ratio"))
+    near = best.select("probe", (-F.col("b.p")).alias("paper"), F.col("b.ratio").alias("ratio"))
+    return near.unionAll(equal.select("probe", "paper", F.lit(1.0).alias("ratio")).where(F.lit(least <= 1)))
 
 
 def title_year_pairs(papers: DataFrame) -> DataFrame:

@@ -109,6 +109,22 @@ def test_title_match(spark):
     assert [(r["probe"], r["paper"]) for r in match.title_match(probes, papers).collect()] == [(9, 1)]
 
 
+def test_title_match_of_frequent_words(spark):
+    rows = [(i, "Hot common title") for i in range(1500)] + [(2000 + i, f"frogs pond {i:05d} survey") for i in range(1200)] + [(9000, "frogs pond survey")]
+    papers = spark.createDataFrame(rows, "id long, title string")
+    probes = spark.createDataFrame([(1, "HOT common title!"), (2, "Hot common titles"), (3, "frogs pond survey"), (4, "frogs pond surveys"), (5, "nothing")], "idx long, title string")
+    got = {r["probe"]: (r["paper"], r["ratio"]) for r in match.title_match(probes, papers).collect()}
+    want = {}
+    for r in probes.collect():
+        t = r["title"].lower().strip("!")
+        ratio, paper = max((X.ratio(t, x.lower()), -i) for i, x in rows)
+        if ratio >= 0.85:
+            want[r["idx"]] = (-paper, ratio)
+    assert got == want and set(got) == {1, 2, 3, 4} and got[3][0] == got[4][0] == 9000
+    one = match.title_match(probes.selectExpr("*", "2001 as year"), papers.selectExpr("*", "if(id < 1400, 2000, 2001) as year"), same_year=True)
+    assert {r["probe"]: r["paper"] for r in one.collect()}[1] == 1400
+
+
 def test_search_terms_and_grid():
     assert X.search_terms("(alpha OR beta) AND gamma NOT delta") == [["alpha", "gamma"], ["beta", "gamma"]]
     g = X.log_grid(1000)
