@@ -162,3 +162,12 @@ def test_layouts(spark):
     assert d[0, 2] == pytest.approx(24, rel=0.1) and d[0, 1] == pytest.approx(12, rel=0.1)
     h = layout.hop_matrix(4, np.array([[0, 1], [1, 2]]))
     assert h[0, 2] == 2 and math.isinf(h[0, 3])
+
+
+def test_label_queries_read_whole_texts(spark, tmp_path):
+    from graphlens import catalog
+
+    texts = [(i, "early " * 100 + "lateword follows " * 200) for i in range(24)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert "lateword" in {r["term"] for r in catalog.QUERIES["banded_terms"](spark, str(tmp_path)).collect()}
+    assert all("lateword" in r["phrases"] for r in catalog.QUERIES["key_phrases"](spark, str(tmp_path)).collect())
