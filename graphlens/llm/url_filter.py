@@ -62,7 +62,7 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(suffixes, empty), words, F.coalesce(both, empty)))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6, longest: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6) -> DataFrame:
     """Rules ``(rule, items, verdict, confidence, support, anchor)`` from ``labelled(items, blocked)``.
 
     ``anchor`` is the rule's rarest token, the one the inverted index keeps it under.
@@ -71,7 +71,7 @@ def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6, lo
     baskets = cut(baskets.select(F.concat("items", F.array(F.when(F.col("blocked"), BLOCK).otherwise(ALLOW))).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.size("consequent") == 1).where(F.col("consequent")[0].isin(ALLOW, BLOCK))
-    rules = rules.where(~F.arrays_overlap("antecedent", F.array(F.lit(ALLOW), F.lit(BLOCK)))).where(F.size("antecedent") <= longest)
+    rules = rules.where(~F.arrays_overlap("antecedent", F.array(F.lit(ALLOW), F.lit(BLOCK))))
     rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support")
     rules = cut(rules.withColumn("rule", F.array_join("items", " ")))
     # drop a rule where one with a token less says the same as surely

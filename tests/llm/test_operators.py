@@ -110,6 +110,13 @@ def test_url_awkward(spark):
     assert url_filter.judge(pages.limit(0), url_filter.mine(none)).count() == 0
 
 
+def test_url_rules_of_any_length(spark):
+    full = [f"p:{c}" for c in "abcde"]
+    rows = [(full, True)] * 10 + [([x for x in full if x != y], False) for y in full for _ in range(10)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "items array<string>, blocked boolean")).where("verdict = 'block'").collect()
+    assert [(r["items"], r["confidence"]) for r in rules] == [(full, 1.0)]
+
+
 # 3
 
 
