@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.operators.components import connected_components as components
-from graphlens.operators.components import cut
+from graphlens.operators.components import cut, shared_folder
 
-__all__ = ["components", "cut", "forest", "give_back", "pieces", "small_batches", "small_side", "split_hot", "table"]
+__all__ = ["bounded_batches", "components", "cut", "forest", "give_back", "join_by_key", "pieces", "salted_join", "shared_folder", "small_side", "split_hot", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Spark send ``rows`` rows at a time to Python: whole texts are large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let Spark send batches of at most ``size`` bytes to Python, a row at least, where it would send more.
+
+    Texts are large, and how many rows they are says little. The setting is the
+    session's, as Spark reads it when a query runs; it changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
 
 
 def give_back() -> None:
@@ -55,6 +62,37 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row a key and in ``weight`` the number of rows of that key.
+
+    Keys with more rows than an even share of a task are joined by broadcast:
+    they are fewer than there are shuffle partitions. The others are shuffled.
+    ``facts`` must be cheap to read again (a checkpoint).
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, (facts.agg(F.sum(weight)).first()[0] or 0) // n)
+    hot = facts.where(F.col(weight) > share)
+    if not hot.limit(1).count():
+        return rows.join(facts, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col(weight) <= share), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, block: int, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` to ``facts``, one wide row a key, with no key's rows in one task.
+
+    Keys with more than ``block`` rows are dealt over as many tasks as they have
+    blocks, and their wide row is repeated there. ``counted`` holds the same
+    keys as ``rows`` and is cheaper to count.
+    """
+    many = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    many = cut(many.select(key, F.expr(f"cast(ceil(__n / {float(block)}) as int)").alias("__parts")))
+    parts, others = F.coalesce("__parts", F.lit(1)).cast("long"), [c for c in rows.columns if c != key and dict(rows.dtypes)[c] != "binary"]
+    dealt = rows.join(small_side(many, 100_000), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*others), parts) if others else F.lit(0).cast("long")).drop("__parts")
+    wide = facts.join(small_side(many, 100_000), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+    return dealt.join(wide, [key, "__salt"]).drop("__salt")
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest reachable index of each of ``n`` nodes under the links ``a[i] - b[i]``."""
     label = np.arange(n)
@@ -86,9 +124,9 @@ def split_hot(rows: DataFrame, n: int, block: int) -> DataFrame:
     """
     slots = 1 << max(0, (8 * n // block).bit_length())
     slotted = rows.withColumn("slot", F.pmod("bucket", F.lit(slots)))
-    hot = cut(slotted.groupBy("slot").agg(F.count("*").alias("size")).where(F.col("size") > block))
+    hot = cut(slotted.groupBy("slot").agg(F.count("*").alias("slot_size")).where(F.col("slot_size") > block))
     dealt = slotted.join(small_side(hot, 100_000), "slot", "left")
-    dealt = dealt.withColumn("nb", F.expr(f"cast(ceil(coalesce(size, 1) / {float(block)}) as int)"))
+    dealt = dealt.withColumn("nb", F.expr(f"cast(ceil(coalesce(slot_size, 1) / {float(block)}) as int)"))
     dealt = dealt.withColumn("blk", F.expr("cast(pmod(xxhash64(rep, 7), nb) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    return dealt.select("*", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2")).drop("slot", "size", "nb", "other")
+    return dealt.select("*", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2")).drop("slot", "slot_size", "nb", "other")

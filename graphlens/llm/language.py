@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, pieces, small_batches, table
+from graphlens.llm.common import cut, pieces, bounded_batches, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script blocks, and the script that begins there.
@@ -313,7 +313,7 @@ def held_out(doc_id):
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: learn from the documents that are not held out, predict all."""
-    small_batches(spark)
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     got = predict(docs.select("doc_id", "text"), model)

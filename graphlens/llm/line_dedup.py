@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, pieces, small_batches, table
+from graphlens.llm.common import cut, pieces, bounded_batches, table
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -193,5 +193,5 @@ def remove_repeats(docs: DataFrame, spacing: int = 3, long_words: int = 50, coun
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated multi-line chunks and passages: doc_id, text, lines_removed."""
-    small_batches(spark)
+    bounded_batches(spark)
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)

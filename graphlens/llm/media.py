@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import small_batches, table
+from graphlens.llm.common import bounded_batches, table
 
 UNIT, WIDE = 576, 24
 #: Fixed values of the format: zig-zag is not needed, only DC is read.
@@ -323,5 +323,5 @@ def read_column(stored: DataFrame) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: store every document's text, read it back, return the features."""
-    small_batches(spark)
+    bounded_batches(spark)
     return read_column(store_column(table(spark, sf_dir, "documents")))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import small_batches, table
+from graphlens.llm.common import bounded_batches, table
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, token_ids binary"
 #: Longest slice of a text given to the encoder at once.
@@ -173,5 +173,5 @@ def digest(packed: DataFrame) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents in sequences of at most 2048 tokens."""
-    small_batches(spark)
+    bounded_batches(spark)
     return digest(pack(table(spark, sf_dir, "documents"), *public_paths()))

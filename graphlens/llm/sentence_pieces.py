@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, small_batches, table
+from graphlens.llm.common import cut, bounded_batches, table
 
 MARK = "▁"
 _MEMO = 160_000
@@ -385,7 +385,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode it again: counts, digests and whether the text came back."""
-    small_batches(spark)
+    bounded_batches(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")

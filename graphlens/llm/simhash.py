@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import components, cut, forest, pieces, small_batches, split_hot, table
+from graphlens.llm.common import components, cut, forest, pieces, bounded_batches, split_hot, table
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles handled at a time; bounds memory on very long texts.
@@ -174,6 +174,6 @@ def near_components(
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: 3-word shingles, 64-bit fingerprints, links at 3 or fewer bits."""
-    small_batches(spark)
+    bounded_batches(spark)
     got = near_components(table(spark, sf_dir, "documents"), shingle=3, words=1, parts=1, radius=3, within=3, distinct=False)
     return got.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import small_batches, table
+from graphlens.llm.common import bounded_batches, table
 
 _WORDS = re.compile(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]")
 #: Most words kept with their counts in a worker.
@@ -122,7 +122,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of all documents over the public byte vocabulary."""
-    small_batches(spark)
+    bounded_batches(spark)
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
