@@ -1,25 +1,31 @@
 """Operator 6: language identification by script ranges and Viterbi over words.
 
 Fit: over labelled rows, a bounded sample (``sample`` rows of the smallest
-hashes, a documented parameter) gives every learned language its character
+hashes, a documented parameter) gives every learned language all its character
 2- and 3-gram counts; a word's score for a language is the mean log-probability
 of its n-grams, add-one smoothed, times the square root of its length.
 
 Predict: a word's script (from code-point ranges) keeps only the languages
 learned with that script as candidates; Viterbi over the words' scores with a
 switching penalty labels every word, so runs of one label are the spans of a
-mixed-language text; a word of more than 64 letters is several steps. The text's language is the label with most letters; the
-score is that label's share of letters times its words' mean posterior.
+mixed-language text; a word of more than 64 letters is several steps. The
+text's language is the label with most letters; the score is that label's share
+of letters times its words' mean posterior.
 
 Edge cases: null text or text without a letter is ``und`` with score 0 and no
 span; with no labelled row everything is ``und``; a word whose script no
 language was learned with may be any; ties go to the first language by name;
-empty tables give empty results; very long texts are labelled in full.
+empty tables give empty results; very long texts are labelled in full. Letters
+are Unicode's: a fraction or a superscript is none, and a combining mark belongs
+to the word of the letter before it.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from itertools import accumulate
@@ -30,9 +36,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, pieces, bounded_batches, table
+from graphlens.llm.common import bounded_batches, cut, pieces, table
+
+
+def _ranges(major: str, low: int, high: int) -> str:
+    """Code points of one major category from ``low`` to ``high``, as the inside of a character class."""
+    hit = np.array([unicodedata.category(chr(c))[0] == major for c in range(low, high)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return "".join(f"\\U{low + a:08x}-\\U{low + b - 1:08x}" for a, b in edges.reshape(-1, 2))
+
+
+@functools.cache
+def _word_pattern(high: int) -> re.Pattern:
+    """A letter, then letters and combining marks, among the code points below ``high``."""
+    letter = _ranges("L", 0, high)
+    return re.compile(f"[{letter}][{letter}{_ranges('M', 0, high)}]*")
+
+
+def word_pattern(text: str) -> re.Pattern:
+    """The pattern of words; the one for all planes is slower, so only texts that need it get it."""
+    wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+    return _word_pattern(sys.maxunicode + 1 if wide else 0x10000)
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a word."""
+    return bool(text) and word_pattern(text).search(text) is not None
+
 
-_WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script blocks, and the script that begins there.
 _SCRIPTS = [
     (0x0000, "Latn"), (0x0370, "Grek"), (0x0400, "Cyrl"), (0x0530, "Armn"), (0x0590, "Hebr"), (0x0600, "Arab"),
@@ -120,8 +151,8 @@ class Model:
         return s.astype(np.float32)
 
 
-def fit(labelled: DataFrame, sample: int = 1000, features: int = 60_000) -> Model:
-    """Learn from ``labelled(text, lang)``: at most ``sample`` distinct rows, ``features`` counts.
+def fit(labelled: DataFrame, sample: int = 1000) -> Model:
+    """Learn from ``labelled(text, lang)``: at most ``sample`` distinct rows, every n-gram of theirs.
 
     The rows with the smallest hashes are taken, a choice that doesn't depend
     on the input's order. Their greatest hash is found first, from hashes
@@ -135,7 +166,8 @@ def fit(labelled: DataFrame, sample: int = 1000, features: int = 60_000) -> Mode
         words: Counter = Counter()
         for b in batches:
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words.update((lang, w) for w in _WORD.findall(t.lower()))
+                low = t.lower()
+                words.update((lang, w) for w in word_pattern(low).findall(low))
         got: Counter = Counter()
         for (lang, w), n in words.items():
             for step in steps(w):
@@ -149,20 +181,21 @@ def fit(labelled: DataFrame, sample: int = 1000, features: int = 60_000) -> Mode
             yield pa.RecordBatch.from_arrays([*cols, pa.array([got[k] for k in part], pa.int64())], names=["lang", "gram", "script", "n"])
 
     counts = cut(rows.mapInArrow(count, "lang string, gram string, script string, n long").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
-    # bounded: at most ``features`` n-gram counts and a row per language and script
-    got = counts.where("gram <> ''").orderBy(F.desc("n"), "gram", "lang").limit(features).collect()
+    # bounded by the sample: its distinct n-grams, and a row per language and script
+    got = counts.where("gram <> ''").collect()
     seen = counts.where("gram = ''").collect()
     langs = sorted({r["lang"] for r in seen})
+    place = {x: i for i, x in enumerate(langs)}
     index = {g: i for i, g in enumerate(sorted({r["gram"] for r in got}), 1)}
     n = np.ones((len(index) + 1, max(1, len(langs))))
     for r in got:
-        n[index[r["gram"]], langs.index(r["lang"])] += r["n"]
+        n[index[r["gram"]], place[r["lang"]]] += r["n"]
     scores = np.log(n) - np.log(n.sum(axis=0))
     words = {x: sum(r["n"] for r in seen if r["lang"] == x) for x in langs}
     scripts: dict[str, list[int]] = {}
     for r in seen:
         if r["n"] >= 0.01 * words[r["lang"]]:
-            scripts.setdefault(r["script"], []).append(langs.index(r["lang"]))
+            scripts.setdefault(r["script"], []).append(place[r["lang"]])
     return Model(langs, index, scores, {s: sorted(set(v)) for s, v in scripts.items()})
 
 
@@ -170,7 +203,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """Best label sequence of each text; texts advance together, one word a step."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
-    out: list = [np.zeros(0, dtype=np.int8)] * len(scores)
+    out: list = [np.zeros(0, dtype=np.int16)] * len(scores)
     if not len(order) or not lengths[0]:
         return out
     k, steps = scores[order[0]].shape[1], int(lengths[0])
@@ -181,7 +214,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     for r, i in enumerate(order):
         if lengths[r]:
             flat[firsts[: lengths[r]] + r] = scores[i]
-    came = np.zeros((int(ends[-1]),), dtype=np.int8)  # best label of the step before
+    came = np.zeros((int(ends[-1]),), dtype=np.int16)  # best label of the step before
     stay = np.zeros((int(ends[-1]), k), dtype=bool)
     now = flat[: alive[0]].copy()
     lasts: list = [None] * len(order)
@@ -198,7 +231,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         came[at] = best
         stay[at] = now >= jump[:, None]
         now = np.where(stay[at], now, jump[:, None]) + flat[at]
-    labels = np.zeros(int(ends[-1]), dtype=np.int8)
+    labels = np.zeros(int(ends[-1]), dtype=np.int16)
     now_label = np.zeros(int(alive[0]), dtype=np.int64)
     for r in range(int(alive[0])):
         now_label[r] = lasts[r]
@@ -233,7 +266,10 @@ def _predict(model: Model, penalty: float, spans: bool, names: tuple[str, ...],
             at = []
             for t in texts if k else [""] * len(texts):
                 t = t or ""
-                words = [w.lower() for w in _WORD.findall(t)] if "\u0130" in t else _WORD.findall(t.lower())
+                low = t if "\u0130" in t else t.lower()  # that letter becomes two in lower case
+                words = word_pattern(low).findall(low)
+                if low is t:
+                    words = [w.lower() for w in words]
                 if max(map(len, words), default=0) > _STEP:
                     words = [x for w in words for x in steps(w)]
                 at.append(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)))
@@ -256,7 +292,7 @@ def _predict(model: Model, penalty: float, spans: bool, names: tuple[str, ...],
                 langs.append(model.langs[best])
                 scores.append(float(share[best] / share.sum() * np.average(post[a[mine], best], weights=n[mine])))
                 if spans:
-                    spots = [x for m in _WORD.finditer(t) for x in places(m)]
+                    spots = [x for m in word_pattern(t).finditer(t) for x in places(m)]
                     cuts = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)]
                     runs.append([{"start": spots[s][0], "end": spots[e - 1][1], "lang": model.langs[y[s]]} for s, e in zip(cuts, cuts[1:])])
             cols = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
@@ -301,7 +337,7 @@ def with_letters(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in pieces(batches):
-            yield b.filter(pa.array([t is not None and _WORD.search(t) is not None for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([has_letter(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -316,5 +352,5 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    got = predict(docs.select("doc_id", "text"), model)
-    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    got = predict(docs.select("doc_id", "text"), model, spans=True)
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
