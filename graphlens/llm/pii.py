@@ -1,12 +1,14 @@
 """Operator 1: personal data by patterns, checksum validators and context words.
 
 Built-in column functions only. Every kind has a pattern that proposes spans
-and a validator that confirms them (octet range, Luhn, digit counts, mod 97);
-kinds the contract adds nothing to are scored 1. The method's own kinds are
-scored from their base score, raised by context words near the span, and kept
-from ``threshold`` on: iban (mod-97 confirmed, kept without context) and ssn
-(the 3-2-4 digit form, kept only beside a context word). Cards and phone numbers
-in a tight form are added where the plain pattern ran two numbers together.
+and a validator that confirms them (octet range, Luhn, digit counts, mod 97).
+A span's score is its kind's own score, raised by a word of that kind within
+``near`` characters and lowered by a word that speaks against it. The contract's
+base spans stay whatever their score; the method's own spans are kept from
+``threshold`` on: iban (by each country's length, mod-97 confirmed), ssn (the
+3-2-4 digit form, too weak without a context word), secret (keys of well-known
+forms, and long mixed tokens beside a context word), and cards and phone numbers
+in a tight form where the plain pattern ran two numbers together.
 
 Positions: ``split`` gives the text between matches and ``regexp_extract_all``
 the matches, both in order; running sums of their lengths are the starts, in
@@ -16,7 +18,8 @@ character costs linear time and no stack.
 
 Edge cases: null text is empty and has no spans; empty and very long texts are
 searched whole; repeated rows are alike; an empty table gives an empty result;
-``redact`` keeps every other column, whatever its name.
+``redact`` keeps every other column, but for ones named ``__base``, ``__all``
+or ``__merged``.
 """
 
 from __future__ import annotations
@@ -38,11 +41,48 @@ TIGHT = {
     "card": r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])",
     "phone": r"\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])",
 }
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+#: Number of characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Country, two check digits and the rest in that country's length, in groups of four or run together."""
+    forms = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CONTEXT = {
+#: Keys of well-known forms, and tokens of letters and digits that only a context word makes a secret.
+KEY = r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{20,80}+)(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]++-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,128}+(?![A-Za-z0-9])"
+#: Score of a kind without any context, and the words that raise and lower it.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
+RAISE, LOWER = 0.3, 0.3
+WORDS = {
+    "email": ["mail", "contact", "write to"],
+    "ip": ["address", "host", "server", r"\bip\b"],
+    "card": ["card", "visa", "credit", "debit", "tarjeta", "karte", "carte"],
+    "phone": ["phone", r"\btel", "call", "mobile", "fax", "telefon", "tel[eé]fono"],
     "iban": ["iban", "account", "konto", "cuenta", "compte", "bank"],
     "ssn": ["ssn", "social security", "tax id", "taxpayer"],
+    "secret": ["token", "secret", r"api[ _-]?key", "passw", "credential", "bearer", r"\bauth"],
+}
+AGAINST = {
+    "ip": ["version", "release", "section"],
+    "card": ["order", "invoice", "tracking", "serial", "isbn"],
+    "phone": ["order", "invoice", "tracking", "serial", "isbn"],
+    "ssn": ["order", "invoice", "part number"],
+    "secret": ["commit", "checksum", r"\bsha", r"\bmd5"],
 }
 
 
@@ -83,7 +123,7 @@ def _valid(kind: str, m: Column) -> Column:
         return (n >= 10) & (n <= 15)
     if kind == "iban":
         bare = F.replace(m, F.lit(" "), F.lit(""))
-        return (F.length(bare) >= 15) & (F.length(bare) <= 34) & mod97(bare)
+        return mod97(bare)
     return F.lit(True)
 
 
@@ -105,31 +145,38 @@ def _spans(text: Column, kind: str, pattern: str, hint: Column, rank: int) -> Co
     return F.when(hint, walked).otherwise(empty)
 
 
-def _context(text: Column, spans: Column, kind: str, base: float, bonus: float, near: int, threshold: float) -> Column:
-    """The spans whose base score, raised by a context word within ``near`` characters, reaches the threshold."""
-    words = "(?i)" + "|".join(CONTEXT[kind])
+def _scored(text: Column, spans: Column, near: int, own: float | None = None) -> Column:
+    """``spans`` with their scores; ``own`` in place of the kind's score without context."""
 
-    def keep(s: Column) -> Column:
+    def score(s: Column) -> Column:
         first = F.greatest(s["start"] - near, F.lit(0))
-        around = F.concat(F.substring(text, first + 1, s["start"] - first), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(near)))
-        return F.lit(base) + F.when(around.rlike(words), bonus).otherwise(0.0) >= threshold
+        around = F.lower(F.concat(F.substring(text, first + 1, s["start"] - first), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(near))))
+        out = F.lit(0.0)
+        for kind, base in SCORES.items():
+            value = F.lit(base if own is None else own) + F.when(around.rlike("|".join(WORDS[kind])), RAISE).otherwise(0.0)
+            if kind in AGAINST:
+                value -= F.when(around.rlike("|".join(AGAINST[kind])), LOWER).otherwise(0.0)
+            out = F.when(s["kind"] == kind, value).otherwise(out)
+        return F.round(F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)), 1)
 
-    return F.filter(spans, keep)
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), score(s).alias("score")))
 
 
 def find(docs: DataFrame, threshold: float = 0.6, near: int = 40) -> DataFrame:
-    """``docs`` with ``__base`` and ``__all``: sorted spans of the base kinds, and with the method's added."""
+    """``docs`` with ``__base`` and ``__all``: sorted spans of the base kinds, and with scores and the method's added."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hints = {"email": F.instr(text, "@") > 0, "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": F.instr(text, "+") > 0}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     base = [_spans(text, k, patterns[k], hints[k], i) for i, k in enumerate(KINDS)]
-    iban = _spans(text, "iban", IBAN, text.rlike(r"[A-Z]{2}[0-9]{2}"), 4)
-    ssn = _spans(text, "ssn", SSN, text.rlike(r"[0-9]{3}-[0-9]{2}-"), 5)
     free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    tight = [F.filter(_spans(text, k, TIGHT[k], hints[k], KINDS.index(k)), free) for k in TIGHT]
-    more = tight + [_context(text, iban, "iban", 0.8, 0.2, near, threshold), _context(text, ssn, "ssn", 0.4, 0.4, near, threshold)]
+    more = [_scored(text, F.filter(_spans(text, k, TIGHT[k], hints[k], KINDS.index(k)), free), near) for k in TIGHT]
+    more.append(_scored(text, _spans(text, "iban", IBAN, text.rlike(r"[A-Z]{2}[0-9]{2}"), 4), near))
+    more.append(_scored(text, _spans(text, "ssn", SSN, text.rlike(r"[0-9]{3}-[0-9]{2}-"), 5), near))
+    more.append(_scored(text, _spans(text, "secret", KEY, text.rlike("A[KS]IA|gh[opsu]_|xox[abp]-|-----BEGIN"), 6), near, 0.9))
+    more.append(_scored(text, _spans(text, "secret", TOKEN, text.rlike("(?i)" + "|".join(WORDS["secret"])), 6), near))
     got = docs.withColumn("__base", F.array_sort(F.concat(*base)))
-    return got.withColumn("__all", F.array_sort(F.concat("__base", *more)))
+    kept = F.filter(F.concat(*more), lambda s: s["score"] >= threshold)
+    return got.withColumn("__all", F.array_sort(F.array_distinct(F.concat(_scored(text, F.col("__base"), near), kept))))
 
 
 def _joined(spans: Column) -> Column:
@@ -168,4 +215,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: counts, digest of the base spans, and all spans of every document."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(_joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("__all")).alias("spans"))
+    scores = F.array_join(F.transform("__all", lambda s: s["score"].cast("string")), ",")
+    added = (F.size("__all") - F.size("__base")).cast("long").alias("n_added")
+    digest = F.sha2(_joined(F.col("__base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *(count(k) for k in KINDS), digest, _joined(F.col("__all")).alias("spans"), scores.alias("scores"), added)
