@@ -1,7 +1,8 @@
 """Operator 2: URL filters, curated rules first, mined association rules for the rest.
 
 Built-in column functions and Spark's FP-growth only. A URL becomes a set of
-tokens: every suffix of its host, its path words and pairs of host and first
+tokens: every label of its host with its place from the right, so that a host
+suffix is a combination of tokens, its path words and pairs of host and first
 path word; numbers are one token. FP-growth mines token combinations of
 the labelled URLs together with their label; a rule "tokens -> label" is kept from a
 confidence and a support on, and dropped where a rule with fewer of its tokens
@@ -21,7 +22,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, small_side, table
+from graphlens.llm.common import cut, join_by_key, small_side, table
 
 #: The contract's rules: host, path prefix, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -51,15 +52,15 @@ def curated(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: host suffixes, path words, host with first path word."""
+    """Distinct tokens of a URL: host labels by place, path words, host with first path word."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    suffixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.least(n, F.lit(6))), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, n - i + 1, i), "."))))
+    placed = F.transform(F.reverse(labels), lambda x, i: F.concat(F.lit("h"), (i + 1).cast("string"), F.lit(":"), x))
     words = F.filter(F.split(F.lower(path), "[^a-z0-9]+"), lambda x: x != "")
     words = F.array_distinct(F.transform(words, lambda x: F.concat(F.lit("p:"), F.when(x.rlike("^[0-9]+$"), "#").otherwise(x))))
     both = F.when((n > 0) & (F.size(words) > 0), F.array(F.concat(F.lit("b:"), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), "."), F.lit("/"), F.get(words, 0))))
     empty = F.expr("cast(array() as array<string>)")
-    return F.array_distinct(F.concat(F.coalesce(suffixes, empty), words, F.coalesce(both, empty)))
+    return F.array_distinct(F.concat(placed, words, F.coalesce(both, empty)))
 
 
 def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6) -> DataFrame:
@@ -89,19 +90,20 @@ def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6) ->
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", index_rows: int = 20_000) -> DataFrame:
     """``(page_id, host, path, rule, verdict, mined)``: the curated rule, else the best mined one, else ``default``.
 
-    Equal token sets are judged once. The index is broadcast up to
-    ``index_rows`` rules, joined by shuffle beyond.
+    Equal token sets are judged once, and the sets of many pages are brought
+    back to them by broadcast. The index is broadcast up to ``index_rows`` rules,
+    joined by shuffle beyond.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = curated(F.col("host"), F.col("path"))
     base = base.select("*", name.alias("rule"), verdict.alias("__curated"), tokens(F.col("host"), F.col("path")).alias("__items"))
     index = rules.select("anchor", F.col("items").alias("need"), F.col("rule").alias("name"), F.col("verdict").alias("says"), "confidence", "support")
-    sets = base.where("__curated is null").select("__items").distinct()
+    sets = cut(base.where("__curated is null").groupBy("__items").agg(F.count("*").alias("__n")))
     asked = sets.select("__items", F.explode("__items").alias("anchor"))
     hits = asked.join(small_side(index, index_rows), "anchor").where(F.size(F.array_except("need", "__items")) == 0)
     order = F.struct(F.col("confidence"), F.col("support"), F.size("need").alias("size"), F.col("says").alias("says"), F.col("name").alias("name"))
     best = hits.groupBy("__items").agg(F.max(order).alias("best")).select("__items", F.col("best.says").alias("__says"), F.col("best.name").alias("mined"))
-    out = base.join(best, "__items", "left")
+    out = join_by_key(base, cut(sets.join(best, "__items", "left")), ["__items"], "__n")
     return out.select("page_id", "host", "path", "rule", F.coalesce("__curated", "__says", F.lit(default)).alias("verdict"), F.when(F.col("__curated").isNull(), F.col("mined")).alias("mined"))
 
 
