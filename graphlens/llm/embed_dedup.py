@@ -3,12 +3,14 @@
 Every distinct vector is rotated by seeded random orthogonal matrices. The
 signs of the first rotation are its binary code x (a corner of the unit cube);
 the stored correction factor is c = <x, o> for the rotated unit vector o. For a
-rotated unit vector q, <x, q>/c estimates <o, q> without bias, and the estimate
-can differ from a true cosine of ``threshold`` or more by at most
-``sqrt(1-c^2)/c * sqrt(1-threshold^2)`` (Cauchy-Schwarz, always) or, with
-confidence ``z``, by ``sqrt(1-c^2)/c * z/sqrt(d-1)``. Pairs whose upper bound
-stays below the threshold are dropped, all others are recomputed exactly in
-double precision, and only those decide.
+rotated unit vector q, <x, q>/c estimates <o, q> without bias: the part of q
+that is not along o has a length of sqrt(1-cos^2) and a random direction, so the
+error is ``sqrt(1-c^2)/c * sqrt(1-cos^2)`` times one coordinate of a random unit
+vector of d-1 dimensions. For a true cosine of ``threshold`` or more it is at
+most ``sqrt(1-c^2)/c * sqrt(1-threshold^2) * z/sqrt(d-1)`` with confidence ``z``
+(in d <= z^2 + 1 dimensions the coordinate's bound of 1 holds instead, always).
+Pairs whose upper bound stays below the threshold are dropped, all others are
+recomputed exactly in double precision, and only those decide.
 
 Candidates: further signs of the rotations form ``T`` table keys of ``k`` bits;
 k follows log2(n) so that a bucket keeps about ``bucket`` vectors, and T is the
@@ -19,10 +21,14 @@ Edge cases: null, empty, zero, non-finite or null-holding vectors link with
 nothing and are their own component (a vector whose copies all lack an id has none); vectors of different lengths do not link;
 exact copies count as links of each other and are compared once; ties keep the
 smallest id; empty tables give empty results; other columns are ignored.
+
+What is shuffled per table is a vector as it came (single precision stays so),
+its correction factor and its packed keys.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -30,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import components, cut, forest, split_hot, table
+from graphlens.llm.common import components, cut, forest, join_by_key, split_hot, table
 
 
+@functools.lru_cache(maxsize=4)
 def rotations(d: int, columns: int, seed: int = 20) -> np.ndarray:
     """``d x columns`` directions, columns from as many random orthogonal matrices as needed."""
     rng = np.random.default_rng([seed, d])
@@ -55,8 +62,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _encode(k: int, tables: int):
-    """mapInArrow body: raw doubles, correction factor and table keys of each vector."""
+def _encode(k: int, tables: int, kind: str):
+    """mapInArrow body: raw numbers, correction factor and table keys of each vector."""
+    small = np.min_scalar_type(-(1 << k))
 
     def run(batches):
         for b in batches:
@@ -73,9 +81,9 @@ def _encode(k: int, tables: int):
                         b.column("rep").take(pa.array(at)),
                         b.column("mult").take(pa.array(at)),
                         pa.array([d] * len(at), pa.int32()),
-                        pa.array([r.tobytes() for r in x], pa.binary()),
+                        pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()),
                         pa.array(factor),
-                        pa.array([r.tobytes() for r in keys], pa.binary()),
+                        pa.array([r.tobytes() for r in keys.astype(small)], pa.binary()),
                         pa.array(list(keys), pa.list_(pa.int32())),
                     ],
                     names=["rep", "mult", "dim", "vec", "factor", "key_bytes", "keys"],
@@ -84,14 +92,15 @@ def _encode(k: int, tables: int):
     return run
 
 
-def _compare(threshold: float, z: float):
+def _compare(threshold: float, z: float, k: int, kind: str):
     """mapInArrow body over rows sorted by group: link counts and a spanning forest."""
+    small = np.min_scalar_type(-(1 << k))
 
     def group(rows):
         d, t = rows["dim"][0], rows["t"][0]
-        x = np.frombuffer(b"".join(rows["vec"]), dtype=np.float64).reshape(-1, d)
+        x = np.frombuffer(b"".join(rows["vec"]), dtype=kind).astype(np.float64).reshape(-1, d)
         o = _unit(x)
-        keys = np.frombuffer(b"".join(rows["key_bytes"]), dtype=np.int32).reshape(len(x), -1)
+        keys = np.frombuffer(b"".join(rows["key_bytes"]), dtype=small).reshape(len(x), -1)
         mult, factor = np.array(rows["mult"]), np.array(rows["factor"])
         blk = np.array(rows["blk"])
         cross = rows["b1"][0] != rows["b2"][0]
@@ -100,8 +109,8 @@ def _compare(threshold: float, z: float):
         rot = (o @ rotations(d, d)).astype(np.float32)
         code = np.where(rot > 0, np.float32(1 / math.sqrt(d)), np.float32(-1 / math.sqrt(d)))
         spread = np.sqrt(np.maximum(0, 1 - factor**2)) / factor
-        sure, likely = math.sqrt(1 - threshold**2), z / math.sqrt(max(1, d - 1))
-        least = (threshold - spread * min(sure, likely) - 1e-5) * factor
+        error = math.sqrt(max(0.0, 1 - threshold**2)) * min(1.0, z / math.sqrt(max(1, d - 1)))
+        least = (threshold - spread * error - 1e-5) * factor
         links, ea, eb = np.zeros(len(x), dtype=np.int64), [], []
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         for s in range(0, len(left), 512):
@@ -157,6 +166,7 @@ def _compare(threshold: float, z: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, bucket: int = 512, miss: float = 1e-3, z: float = 5.0, block: int = 1024) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of all rows of ``vectors(vec_id, embedding)``."""
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     whole = F.coalesce(F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -164,18 +174,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, bucket: int = 512,
     reps = cut(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).where("rep is not null"))
     n = reps.count()
     k, tables = plan_tables(n, threshold, bucket, miss)
-    coded = reps.mapInArrow(_encode(k, tables), "rep long, mult long, dim int, vec binary, factor double, key_bytes binary, keys array<int>")
+    coded = reps.mapInArrow(_encode(k, tables, kind), "rep long, mult long, dim int, vec binary, factor double, key_bytes binary, keys array<int>")
     rows = coded.select("*", F.posexplode("keys").alias("t", "key")).drop("keys")
     dealt = split_hot(rows.withColumn("bucket", F.xxhash64("dim", "t", "key")).drop("key"), n * tables, block)
     grouped = dealt.withColumn("grp", F.xxhash64("bucket", "b1", "b2")).drop("bucket")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = grouped.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_compare(threshold, z), "rep long, links long, root long")
+    found = grouped.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_compare(threshold, z, k, kind), "rep long, links long, root long")
     found = cut(found)
     comps = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = valid.join(named, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    named = cut(named.select("embedding", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    linked = join_by_key(valid, named, ["embedding"], "mult").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
     alone = v.where(~whole).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
