@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut, bounded_batches, table
+from graphlens.llm.common import bounded_batches, cut, table
 
 MARK = "▁"
 _MEMO = 160_000
@@ -277,6 +277,17 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
 
 
+def entry_scores(m: np.ndarray, block: int = 256) -> np.ndarray:
+    """Scores of every chunk's entry states from the matrices of the chunks, ``block`` of them scanned at a time."""
+    entry = np.full((len(m), m.shape[1]), _LOST)
+    entry[0, 0] = 0.0
+    for s in range(0, len(m), block):
+        part = prefix_scan(m[s : s + block])
+        after = (entry[s][None, :, None] + part).max(axis=1)
+        entry[s + 1 : s + 1 + len(part)] = after[: len(m) - s - 1]
+    return entry
+
+
 def prefix_scan(m: np.ndarray) -> np.ndarray:
     """Inclusive max-plus prefix products of a stack of matrices, in log2(n) parallel rounds."""
     out, step = m.copy(), 1
@@ -323,10 +334,7 @@ def encode(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
         group = group.sort_by("n")
         k = vocabulary(path).longest
         m = np.frombuffer(b"".join(group["matrix"].to_pylist()), dtype=np.float64).reshape(-1, k, k)
-        entry = np.full((len(m), k), _LOST)  # scores of the entry states: row 0 of the products before
-        entry[0, 0] = 0.0
-        if len(m) > 1:
-            entry[1:] = prefix_scan(m[:-1])[:, 0, :]
+        entry = entry_scores(m)
         return pa.table({"row": group["row"], "n": group["n"], "entry": pa.array([e.tobytes() for e in entry], pa.binary())})
 
     def trace(batches):
@@ -348,11 +356,12 @@ def encode(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
             state = r["enter"][at]
         return pa.table({"row": group["row"][:1], "ids": pa.array([b"".join(out[::-1])], pa.binary())})
 
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of their own: few small rows, much work each
     small = base.where(~giant).mapInArrow(short, "doc_id long, text string, ids binary")
     large = cut(base.where(giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
-    parts = cut(large.select("row", "text").mapInArrow(slices, "row long, n int, size int, part string").repartition(F.col("row"), F.col("n")))
+    parts = cut(large.select("row", "text").mapInArrow(slices, "row long, n int, size int, part string").repartition(wide, "row", "n"))
     entries = parts.mapInArrow(matrices, "row long, n int, matrix binary").groupBy("row").applyInArrow(scan, "row long, n int, entry binary")
-    traced = parts.join(entries, ["row", "n"]).mapInArrow(trace, "row long, n int, lead binary, leave array<int>, enter array<int>, ids array<binary>")
+    traced = parts.join(entries, ["row", "n"]).repartition(wide, "row", "n").mapInArrow(trace, "row long, n int, lead binary, leave array<int>, enter array<int>, ids array<binary>")
     chosen = traced.groupBy("row").applyInArrow(choose, "row long, ids binary")
     return small.unionAll(large.join(chosen, "row").select("doc_id", "text", "ids"))
 
