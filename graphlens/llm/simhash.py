@@ -307,7 +307,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, least: float, block: int) -> Dat
 
 
 def similar_components(
-    docs: DataFrame, least: float = 0.8, shingle: int = 5, words: int = 2, parts: int = 5, radius: int = 4, within: int = 29, block: int = 16_384, rounds: int = 2
+    docs: DataFrame, least: float = 0.8, shingle: int = 5, words: int = 2, parts: int = 5, radius: int = 4, within: int = 29, block: int = 16_384
 ) -> DataFrame:
     """``(doc_id, text_hash, component, component_id)``: groups tied by a shingle-set similarity of ``least`` or more.
 
@@ -320,38 +320,21 @@ def similar_components(
     table; of those at 25 to 29 bits about one in a hundred doesn't, as a part's
     bits seldom span all its dimensions. Of each table's groups the links of a
     spanning forest with the fewest differing bits are proposed, and a link
-    counts only if the two whole shingle sets are similar enough.
+    counts only if the two whole shingle sets are similar enough. Rows without an
+    id are left out.
 
-    Links are tested from the closest up: ``rounds`` times each document's
-    closest untested link, and those inside a confirmed group fall away; then
-    all that are left. Rows without an id are left out.
+    Proposals number at most a document and table; those of a group of copies
+    are mostly the same in every table, as its rows come in the same order.
     """
     docs = docs.where("doc_id is not null")
     w, key = [f"w{i}" for i in range(words)], ["s0", "s1"]
     prints = cut(fingerprints(docs, shingle, words, True))
     nodes = _nodes(prints, key, ["size", *w])
-    found = _proposals(nodes, words, parts, radius, within, block, least).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits")
-    left = cut(found.distinct())
-    asked = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+    found = _proposals(nodes, words, parts, radius, within, block, least).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    proposed = cut(found.distinct())
+    asked = proposed.select(F.col("src").alias("node")).union(proposed.select("dst")).distinct()
     sets = cut(_shingle_sets(docs, nodes.join(asked, "node", "left_semi"), shingle))
-    links = None
-    for turn in range(rounds + 1):
-        if not left.limit(1).count():
-            break
-        now = left.select("src", "dst")
-        if turn < rounds:
-            ends = left.select(F.col("src").alias("node"), "src", "dst", "bits").unionAll(left.select("dst", "src", "dst", "bits"))
-            now = ends.groupBy("node").agg(F.min(F.struct("bits", "src", "dst")).alias("m")).select("m.src", "m.dst").distinct()
-        now = cut(now)
-        good = cut(_confirm(now, sets, least, min(block, 4096))).where("ok").select("src", "dst")
-        links = good if links is None else links.unionAll(good)
-        if turn < rounds:
-            tied = cut(components(links))
-            of = lambda end: tied.select(F.col("node").alias(end), F.col("component").alias(f"__{end}"))  # noqa: B023, E731
-            left = left.join(now, ["src", "dst"], "left_anti").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
-            left = cut(left.where("__src is null or __dst is null or __src <> __dst").select("src", "dst", "bits"))
-    if links is None:
-        links = left.select("src", "dst")
+    links = cut(_confirm(proposed, sets, least, min(block, 4096))).where("ok").select("src", "dst")
     got = _named(prints.select("doc_id", "text_hash", *key), nodes.select("node", "rep", "rows", *key), key, links)
     return got.select("doc_id", "text_hash", "component", "component_id")
 

@@ -433,8 +433,8 @@ def test_similar_groups_are_confirmed(spark):
     for _ in sets:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    for block, rounds in ((4096, 2), (8, 0)):
-        rows = simhash.similar_components(frame(spark, [texts[k] for k in order]), block=block, rounds=rounds).collect()
+    for block in (4096, 8):
+        rows = simhash.similar_components(frame(spark, [texts[k] for k in order]), block=block).collect()
         got = {x["doc_id"]: x["component_id"] for x in rows}
         assert all(label[i] == label[got[i]] for i in got)  # nothing below 0.8 is tied
         assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
