@@ -96,7 +96,7 @@ def split_pages(c: Column) -> Column:
 
 def split_names(c: Column) -> Column:
     """Names joined by " and "."""
-    return F.filter(F.transform(F.split(c, r"\s+and\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\s+and\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def year_of(c: Column) -> Column:
@@ -152,8 +152,15 @@ def map_type(kind: Column, table: dict[str, str], default: str) -> Column:
     return F.coalesce(F.element_at(pairs, F.coalesce(F.lower(kind), F.lit(""))), F.lit(default))
 
 
-#: Fixed value: words that carry no topic.
-STOPWORDS = "the and for with that this from are was were has have had not but its their our can may which these those been than into also such using used use based between more most other some all any each both one two new via per".split()
+#: Words that carry no topic, and common words of other languages.
+STOPWORDS = (
+    "the a an and or of to in for on with by from as at is are be this that "
+    "we our using use based via into over under between within across new "
+    "approach method methods model models results result study analysis "
+    "paper which can may not but its their these those also more most such "
+    "than then they them was were has have had been being it he she his her"
+).split()
+FOREIGN_STOPWORDS = "para com que uma foram dos das por foi mas como este esta sao ser son del las los una con fue por sus est une des pour avec sur dans nel della delle".split()
 
 
 def tokens(c: Column) -> Column:
@@ -167,32 +174,41 @@ def is_term(word: Column) -> Column:
 
 
 def ngrams(words: Column, top: int) -> Column:
-    """Contiguous 1- to ``top``-grams joined by spaces."""
-    size = F.size(words)
-    of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    grams = [of(n) for n in range(1, top + 1)]
-    empty = F.expr("cast(array() as array<string>)")
-    return F.concat(*(F.coalesce(g, empty) for g in grams))
+    """Contiguous 1- to ``top``-grams joined by spaces, each length built from the one before in one pass."""
+    grams = [words]
+    for n in range(2, top + 1):
+        size = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        grams.append(F.zip_with(F.slice(grams[-1], 1, size), F.slice(words, n, size), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.concat(*grams)
 
 
-_BLOCK, _ENTITY = re.compile(r"<(?:/?(?:em|i|br|p))\b[^<>]*>", re.I), re.compile(r"&(?:#\d+|#x[0-9a-f]+|\w+);", re.I)
-_INLINE = re.compile(r"</?(?:sub|sup|b|strong|scp|sc|u|tt|span|inline-formula|mml:[\w-]+|jats:[\w-]+)\b[^<>]*>", re.I)
+#: Formatting tags of titles and what stands in their place; those of keywords.
+TITLE_TAGS = dict.fromkeys(["i", "em", "italic", "br", "p"], " ") | dict.fromkeys(
+    ["b", "strong", "bold", "scp", "sc", "smallcaps", "sup", "sub", "u", "tt", "span", "roman", "sans-serif", "monospace", "overline", "underline", "strike", "s", "mml"], ""
+)
+KEYWORD_TAGS = ("i", "em", "italic", "scp", "sc")
+_TAG = re.compile(rf"</?({'|'.join(sorted(TITLE_TAGS, key=len, reverse=True))})(?![A-Za-z0-9-])[^>]*>", re.I)
 
 
-def clean_title_py(t: str | None) -> str | None:
-    """Entities decoded (four passes at most), known tags stripped, spaces and punctuation tidied."""
-    if t is None:
-        return None
+def _decoded(t: str) -> str:
+    """Entities decoded; sources escape up to four times."""
     for _ in range(4):
-        if not _ENTITY.search(t):
-            break
-        u = html.unescape(t)
-        if u == t:
-            break
-        t = u
-    t = _INLINE.sub("", _BLOCK.sub(" ", t))
-    t = re.sub(r"\s+", " ", t).strip()
-    return re.sub(r"\(\s+", "(", re.sub(r"\s+([,.;:)])", r"\1", t))
+        t = html.unescape(t)
+    return t
+
+
+def _without_tags(t: str) -> str:
+    return _TAG.sub(lambda m: TITLE_TAGS[m[1].lower()], t)
+
+
+def clean_title_py(t: str | None) -> str | None:
+    """A title without entities and known tags, its spaces tidied; one without any markup stays as it is."""
+    if not t or not re.search(r"[<&\n]", t):
+        return t
+    t = re.sub(r"\s+", " ", _without_tags(_decoded(t)))
+    for gap, plain in ((r"\s+([),.;:])", r"\1"), (r"\(\s+", "(")):
+        t = re.sub(gap, plain, t)
+    return t.strip()
 
 
 @F.pandas_udf(T.StringType())
@@ -202,15 +218,36 @@ def _clean_title(s: pd.Series) -> pd.Series:
 
 def clean_title(c: Column) -> Column:
     """Title without markup; only titles that hold markup leave the JVM."""
-    return F.when(c.rlike(r"[<&]|\s{2,}|\n"), _clean_title(c)).otherwise(F.trim(c))
+    return F.when(c.rlike(r"[<&\n]"), _clean_title(c)).otherwise(c)
+
+
+def is_entity(word: str) -> bool:
+    """Whether a marked-up span names something: several words, or a token with a small letter or a digit that is no number."""
+    if len(word) < 3 or set(",;") & set(word):
+        return False
+    return " " in word or (not word.isdigit() and any(ch.islower() or ch.isdigit() for ch in word))
+
+
+def title_keywords_py(t: str | None) -> list[str]:
+    """Named spans in italics and small capitals, tag by tag, the first spelling of each."""
+    found: dict[str, str] = {}
+    text = _decoded(t) if t and re.search(r"[<&\n]", t) else ""
+    for tag in KEYWORD_TAGS:
+        for m in re.finditer(rf"<{tag}\b[^>]*>(.*?)</{tag}>", text, re.I | re.S):
+            word = re.sub(r"\s+", " ", _without_tags(m[1])).strip()
+            if is_entity(word):
+                found.setdefault(word.lower(), word)
+    return list(found.values())
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _title_keywords(s: pd.Series) -> pd.Series:
+    return s.map(title_keywords_py)
 
 
 def title_keywords(c: Column) -> Column:
-    """Texts in italics or small capitals, first spelling of each, in order."""
-    found = F.regexp_extract_all(c, F.lit(r"(?i)<(?:i|em|scp|sc)>([^<]{2,})</(?:i|em|scp|sc)>"), F.lit(1))
-    kept = F.filter(F.transform(found, squash), lambda x: x.rlike("[A-Za-z]"))
-    lower = F.transform(kept, F.lower)
-    return F.filter(kept, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    """Keywords of a title's markup; only titles that hold markup leave the JVM."""
+    return F.when(c.rlike(r"[<&\n]"), _title_keywords(c)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def name_tokens(name: str) -> list[str]:

@@ -124,7 +124,7 @@ def merge_author_lists(lists: list[list[str]]) -> list[str]:
 
 def resolve_authors(observations: DataFrame) -> DataFrame:
     """``(paper_id, authors)`` from ``observations(paper_id, source, authors array<string>)``."""
-    merged = F.udf(lambda ls: merge_author_lists([list(x) for x in ls]), T.ArrayType(T.StringType()))
+    merged = F.pandas_udf(lambda s: s.map(lambda ls: merge_author_lists([list(x) for x in ls])), T.ArrayType(T.StringType()))
     rows = observations.withColumn("rank", X.trust(F.col("source")))
     g = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "authors"))).alias("ls"))
     return g.select("paper_id", merged(F.transform("ls", lambda x: x["authors"])).alias("authors"))

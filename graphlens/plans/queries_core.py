@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphlens.functions import text as X
-from graphlens.operators import claims, components, match, resolve
+from graphlens.operators import claims, components, maintenance, match, resolve
 from graphlens.plans import sql_surface
-from graphlens.plans.views import Corpus
+from graphlens.plans.views import REACH, Corpus
 from graphlens.registry import query
 from graphlens.sources import bibliography, records
 
@@ -252,11 +252,10 @@ def _(spark, d):
     return Corpus(spark, d).papers.groupBy("title").agg((-best).alias("winner"))
 
 
-@query("citekey_suffix", "SELECT id, CONCAT(base, CASE WHEN n = 1 THEN '' ELSE CHR(CAST(95 + n AS INT)) END) AS citekey FROM (SELECT id, CONCAT('smith', CAST(year AS VARCHAR(10)), source) AS base, ROW_NUMBER() OVER (PARTITION BY year, source ORDER BY id) AS n FROM papers WHERE id <= 900) t WHERE n < 26")
+@query("citekey_suffix", "SELECT id, CONCAT(base, CASE WHEN n = 1 THEN '' WHEN n <= 27 THEN CHR(CAST(95 + n AS INT)) ELSE CONCAT('z', CAST(n - 27 AS VARCHAR(20))) END) AS citekey FROM (SELECT id, CONCAT('smith', CAST(year AS VARCHAR(10)), source) AS base, ROW_NUMBER() OVER (PARTITION BY year, source ORDER BY id) AS n FROM papers) t")
 def _(spark, d):
-    p = Corpus(spark, d).papers.where("id <= 900").withColumn("n", F.row_number().over(Window.partitionBy("year", "source").orderBy("id")))
-    suffix = F.when(F.col("n") == 1, "").otherwise(F.char(F.lit(95) + F.col("n")))
-    return p.where("n < 26").select("id", F.concat(F.lit("smith"), F.col("year").cast("string"), "source", suffix).alias("citekey"))
+    p = Corpus(spark, d).papers.withColumn("n", F.row_number().over(Window.partitionBy("year", "source").orderBy("id")))
+    return p.select("id", F.concat(F.lit("smith"), F.col("year").cast("string"), "source", bibliography.key_suffix(F.col("n"))).alias("citekey"))
 
 
 @query("live_conflict_fields", "SELECT field, n FROM (SELECT field, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT paper_id, field FROM observations WHERE field = 'year' GROUP BY paper_id, field HAVING COUNT(DISTINCT source) > 1 AND COUNT(DISTINCT value) > 1) t GROUP BY field) u")
@@ -300,9 +299,9 @@ def _(spark, d):
     return Corpus(spark, d).observations.select("source", X.source_bucket(F.col("source")).alias("bucket")).distinct()
 
 
-@query("normalise_title", "SELECT doc_id, TRIM(REGEXP_REPLACE(LOWER(SUBSTR(text, 1, 80)), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS title FROM documents")
+@query("normalise_title", "SELECT doc_id, TRIM(REGEXP_REPLACE(LOWER(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS title FROM documents")
 def _(spark, d):
-    return Corpus(spark, d).documents.select("doc_id", X.normalise_title(F.substring("text", 1, 80)).alias("title"))
+    return Corpus(spark, d).documents.select("doc_id", X.normalise_title(F.col("text")).alias("title"))
 
 
 @query("tokens_counted", "SELECT doc_id, CAST(LEN(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(text), '[^a-z0-9]+'), lambda x: LENGTH(x) >= 3 AND NOT LIST_CONTAINS([" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "], x))) AS INT) AS n FROM documents")
@@ -327,7 +326,11 @@ def _(spark, d):
     return Corpus(spark, d).part.select("p_partkey", X.namespace(F.col("p_name")).alias("name"))
 
 
-@query("page_titles_cleaned")
+@query(
+    "page_titles_cleaned",
+    r"""WITH t AS (SELECT page_id, REGEXP_EXTRACT(html, '<title>(.*?)</title>', 1, 's') AS t FROM pages)
+        SELECT page_id, CASE WHEN REGEXP_MATCHES(t, '[<&\n]') THEN TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REPLACE(REPLACE(REPLACE(REPLACE(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'), '\s+([),.;:])', '\1', 'g'), '\(\s+', '(', 'g')) ELSE t END AS title FROM t""",
+)
 def _(spark, d):
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
     return Corpus(spark, d).pages.select("page_id", X.clean_title(title).alias("title"))
@@ -338,12 +341,12 @@ def _(spark, d):
 
 @query(
     "identity_components",
-    """WITH RECURSIVE ids AS (SELECT idx, 'd' || doi AS k FROM records WHERE doi IS NOT NULL AND idx < 400 UNION ALL SELECT idx, 's' || s2_id FROM records WHERE s2_id IS NOT NULL AND idx < 400 UNION ALL SELECT idx, 'o' || oa_id FROM records WHERE oa_id IS NOT NULL AND idx < 400),
-       reach(a, b) AS (SELECT idx, idx FROM ids UNION SELECT r.a, y.idx FROM reach r JOIN ids x ON x.idx = r.b JOIN ids y ON y.k = x.k)
-       SELECT a AS node, MIN(b) AS component FROM reach GROUP BY a""",
+    f"""WITH RECURSIVE ids AS (SELECT idx, 'd' || doi AS k FROM records WHERE doi IS NOT NULL UNION ALL SELECT idx, 's' || s2_id FROM records WHERE s2_id IS NOT NULL UNION ALL SELECT idx, 'o' || oa_id FROM records WHERE oa_id IS NOT NULL),
+       star AS (SELECT i.idx AS a, f.b FROM ids i JOIN (SELECT k, MIN(idx) AS b FROM ids GROUP BY k) f ON f.k = i.k), link AS (SELECT a, b FROM star UNION SELECT b, a FROM star), {REACH}
+       SELECT node, component FROM reach""",
 )
 def _(spark, d):
-    r = Corpus(spark, d).records.where("idx < 400 and coalesce(doi, s2_id, oa_id) is not null")
+    r = Corpus(spark, d).records.where("coalesce(doi, s2_id, oa_id) is not null")
     found = components.connected_components(match.identity_edges(r))
     return r.select(F.col("idx").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -411,7 +414,7 @@ def _(spark, d):
     return resolve.resolve_fields(Corpus(spark, d).observations).where("field = 'editorial_status'").select("paper_id", "value")
 
 
-@query("resolve_authors")
+@query("resolve_authors", "SELECT id AS paper_id, CONCAT(authors, '; Doe, Jane; Müller, K.') AS authors FROM papers WHERE authors IS NOT NULL")
 def _(spark, d):
     p = Corpus(spark, d).papers.where("authors is not null")
     a = p.select(F.col("id").alias("paper_id"), F.lit("crossref").alias("source"), F.array("authors", F.lit("Doe, Jane")).alias("authors"))
@@ -491,3 +494,59 @@ def _(spark, d):
 def _(spark, d):
     p = Corpus(spark, d).papers.withColumn("authors", F.array_compact(F.array("authors")))
     return bibliography.to_ris(p)
+
+
+# functions of importers
+
+
+@query("found_dois", "SELECT id, NULLIF(LOWER(REGEXP_EXTRACT(CONCAT('See https://doi.org/10.1234/AB', CAST(id AS VARCHAR(20)), ' or ', COALESCE(doi, '')), '(10\\.[0-9]{4,9}/\\S+)', 1)), '') AS doi FROM papers")
+def _(spark, d):
+    raw = F.concat(F.lit("See https://doi.org/10.1234/AB"), F.col("id").cast("string"), F.lit(" or "), F.coalesce("doi", F.lit("")))
+    return Corpus(spark, d).papers.select("id", X.find_doi(raw).alias("doi"))
+
+
+@query("page_ranges_split", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS first, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END AS last FROM part")
+def _(spark, d):
+    dash = F.when(F.col("p_size") % 4 == 1, " – ").when(F.col("p_size") % 4 == 2, "--").otherwise("—")
+    raw = F.when(F.col("p_size") % 4 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.col("p_size").cast("string"), dash, F.col("p_partkey").cast("string")))
+    s = X.split_pages(raw)
+    return Corpus(spark, d).part.select("p_partkey", s["first"].alias("first"), s["last"].alias("last"))
+
+
+@query("names_split", "SELECT c_custkey, CONCAT(c_name, '|', c_mktsegment, '|Doe, Jane') AS names FROM customer")
+def _(spark, d):
+    raw = F.concat("c_name", F.lit(" and "), "c_mktsegment", F.lit("  and Doe, Jane and "))
+    return Corpus(spark, d).customer.select("c_custkey", F.array_join(X.split_names(raw), "|").alias("names"))
+
+
+@query("names_joined", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CONCAT(c_name, ', ', c_mktsegment) WHEN 1 THEN c_name WHEN 2 THEN c_mktsegment ELSE 'Group' END AS name FROM customer")
+def _(spark, d):
+    m = F.col("c_custkey") % 4
+    person = F.struct(F.when(m.isin(0, 1), F.col("c_name")).alias("family"), F.when(m.isin(0, 2), F.col("c_mktsegment")).alias("given"), F.lit("Group").alias("name"))
+    return Corpus(spark, d).customer.select("c_custkey", F.get(X.join_names(F.array(person)), 0).alias("name"))
+
+
+@query("abstracts_rebuilt", "SELECT doc_id, ARRAY_TO_STRING(LIST_FILTER(STRING_SPLIT_REGEX(text, '[ \\n\\t]+'), lambda x: x <> ''), ' ') AS abstract FROM documents")
+def _(spark, d):
+    words = Corpus(spark, d).documents.select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n\t]+"), lambda x: x != "")).alias("at", "word"))
+    entries = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    all_docs = Corpus(spark, d).documents.select("doc_id")
+    return all_docs.join(entries, "doc_id", "left").select("doc_id", F.coalesce(X.rebuild_abstract(F.col("index")), F.lit("")).alias("abstract"))
+
+
+@query("serials_routed", "SELECT id, CASE WHEN pub_type = 'book-chapter' THEN 'isbn' ELSE 'issn' END AS scheme FROM papers")
+def _(spark, d):
+    return Corpus(spark, d).papers.select("id", X.route_serial(F.col("pub_type")).alias("scheme"))
+
+
+@query("phrases_counted", "WITH t AS (SELECT doc_id, LEN(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(text), '[^a-z0-9]+'), lambda x: LENGTH(x) >= 3 AND NOT LIST_CONTAINS([" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "], x))) AS n FROM documents) SELECT doc_id, CAST(n + GREATEST(n - 1, 0) + GREATEST(n - 2, 0) AS INT) AS n FROM t")
+def _(spark, d):
+    return Corpus(spark, d).documents.select("doc_id", F.size(X.ngrams(X.tokens(F.col("text")), 3)).alias("n"))
+
+
+@query("status_stamps", "SELECT id, editorial_status, CASE WHEN editorial_status IS NOT NULL AND id % 100 <> 8 THEN TIMESTAMP '2024-02-01 00:00:00' WHEN id % 100 = 8 THEN TIMESTAMP '2020-01-01 00:00:00' END AS editorial_status_at FROM papers")
+def _(spark, d):
+    p = Corpus(spark, d).papers
+    known = F.col("id") % 100 == 8
+    before = p.select("id", F.when(known, F.col("editorial_status")).alias("editorial_status"), F.when(known, F.to_timestamp(F.lit("2020-01-01 00:00:00"))).alias("editorial_status_at"))
+    return maintenance.status_stamp(before, p, "2024-02-01 00:00:00")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphlens.operators import cluster, components, graph, labels, layout, metrics, vectors
-from graphlens.plans.views import Corpus
+from graphlens.plans.views import REACH, Corpus
 from graphlens.registry import query
 
 
@@ -161,9 +161,9 @@ def _(spark, d):
     return graph.graph_neighbours(c.edges, c.nodeset.select(F.col("id").alias("node_id")), k=8, limit=2)
 
 
-@query("citation_components", "WITH RECURSIVE e2 AS (SELECT citing_id AS a, cited_id AS b FROM edges WHERE (citing_id + cited_id) % 40 = 0), s AS (SELECT a, b FROM e2 UNION SELECT b, a FROM e2), r(n, m) AS (SELECT a, a FROM s UNION SELECT r.n, s.b FROM r JOIN s ON s.a = r.m) SELECT n AS node, MIN(m) AS component FROM r GROUP BY n")
+@query("citation_components", f"WITH RECURSIVE link AS (SELECT citing_id AS a, cited_id AS b FROM edges UNION SELECT cited_id, citing_id FROM edges), {REACH} SELECT node, component FROM reach")
 def _(spark, d):
-    return components.connected_components(Corpus(spark, d).edges.where("(citing_id + cited_id) % 40 = 0"), "citing_id", "cited_id")
+    return components.connected_components(Corpus(spark, d).edges, "citing_id", "cited_id")
 
 
 @query(
@@ -171,18 +171,21 @@ def _(spark, d):
     """WITH v AS (SELECT vec_id AS n, UNNEST(embedding) AS x, GENERATE_SUBSCRIPTS(embedding, 1) - 1 AS i FROM embeddings),
        s AS (SELECT citing_id - 1 AS a, cited_id - 1 AS b FROM edges UNION SELECT cited_id - 1, citing_id - 1 FROM edges),
        m AS (SELECT s.a AS n, v.i, AVG(CAST(v.x AS DOUBLE)) AS x FROM s JOIN v ON v.n = s.b GROUP BY s.a, v.i)
-       SELECT v.n AS node_id, CAST(v.i AS INT) AS dim, ROUND(0.7 * CAST(v.x AS DOUBLE) + COALESCE(0.3 * m.x, 0), 6) AS x FROM v LEFT JOIN m ON m.n = v.n AND m.i = v.i WHERE v.i < 4""",
+       SELECT v.n AS node_id, CAST(v.i AS INT) AS dim, ROUND(0.7 * CAST(v.x AS DOUBLE) + COALESCE(0.3 * m.x, 0), 6) AS x FROM v LEFT JOIN m ON m.n = v.n AND m.i = v.i""",
 )
 def _(spark, d):
     c = Corpus(spark, d)
     out = graph.diffuse(_nodes(c), _links(c), 0.3, 1)
-    return out.select("node_id", F.posexplode(F.slice("vec", 1, 4)).alias("dim", "x")).select("node_id", "dim", F.round("x", 6).alias("x"))
+    return out.select("node_id", F.posexplode("vec").alias("dim", "x")).select("node_id", "dim", F.round("x", 6).alias("x"))
 
 
-@query("bridged_pairs", "WITH s AS (SELECT citing_id AS a, cited_id AS b FROM edges UNION SELECT cited_id, citing_id FROM edges), arms AS (SELECT a AS g, b AS r FROM s WHERE a % 40 = 0 AND b % 40 <> 0) SELECT x.r AS a, y.r AS b, CAST(COUNT(*) AS BIGINT) AS ghosts FROM arms x JOIN arms y ON x.g = y.g AND x.r < y.r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.a = x.r AND s.b = y.r) GROUP BY x.r, y.r")
+_GHOSTS = "s AS (SELECT citing_id AS a, cited_id AS b FROM edges UNION SELECT cited_id, citing_id FROM edges), g AS (SELECT s.a AS id FROM s JOIN papers p ON p.id = s.a WHERE s.b IN (SELECT id FROM nodeset) AND s.a NOT IN (SELECT id FROM nodeset) GROUP BY s.a, p.is_stub HAVING (p.is_stub = 1 AND COUNT(*) >= 2) OR (p.is_stub = 0 AND COUNT(*) >= 1))"
+
+
+@query("bridged_pairs", f"WITH {_GHOSTS}, arms AS (SELECT a AS g, b AS r FROM s WHERE a IN (SELECT id FROM g) AND b NOT IN (SELECT id FROM g)) SELECT x.r AS a, y.r AS b, CAST(COUNT(*) AS BIGINT) AS ghosts FROM arms x JOIN arms y ON x.g = y.g AND x.r < y.r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.a = x.r AND s.b = y.r) GROUP BY x.r, y.r")
 def _(spark, d):
     c = Corpus(spark, d)
-    ghosts = c.edges.select(F.col("citing_id").alias("node_id")).union(c.edges.select("cited_id")).where("node_id % 40 = 0")
+    ghosts = graph.ghost_keep(c.edges, c.nodeset, c.papers).select(F.col("id").alias("node_id"))
     return graph.bridged_pairs(c.edges, ghosts)
 
 
@@ -209,9 +212,9 @@ def _(spark, d):
     return j.select(F.col("node_id").alias("vec_id"), F.round(vectors.euclid(F.col("vec"), F.col("other")), 6).alias("euclid"), F.round(vectors.cosine_distance(F.col("vec"), F.col("other")), 6).alias("cosine"))
 
 
-@query("closest_pairs", f"SELECT a, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300) t ORDER BY dist, a, b LIMIT 449")
+@query("closest_pairs", f"SELECT a, b FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY dist, a, b) AS n, COUNT(*) OVER () AS pairs FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) t) u WHERE n <= FLOOR(0.01 * pairs + 0.5)")
 def _(spark, d):
-    return vectors.closest_pairs(_nodes(Corpus(spark, d)).where("node_id < 300"), 0.01).select("a", "b")
+    return vectors.closest_pairs(_nodes(Corpus(spark, d)), 0.01).select("a", "b")
 
 
 @query("channel_variance", "SELECT CAST(i AS INT) AS dim, ROUND(VAR_POP(CAST(x AS DOUBLE)), 8) AS var FROM (SELECT UNNEST(embedding) AS x, GENERATE_SUBSCRIPTS(embedding, 1) - 1 AS i FROM embeddings) t GROUP BY i")
@@ -276,8 +279,9 @@ def _(spark, d):
 @query("force_layout")
 def _(spark, d):
     c = Corpus(spark, d)
-    e = _links(c).where("citing_id < 120 and cited_id < 120").select(F.col("citing_id").alias("a"), F.col("cited_id").alias("b"))
-    return layout.layout(_nodes(c).where("node_id < 120"), e, layout.force_directed, rounds=30)
+    e = _links(c).select(F.col("citing_id").alias("a"), F.col("cited_id").alias("b"))
+    years = c.papers.select((F.col("id") - 1).alias("node_id"), ((F.col("year") - 1990) / 34).alias("t"))
+    return layout.drawing(_nodes(c).select("node_id").join(years, "node_id"), e)
 
 
 # metrics
@@ -303,10 +307,16 @@ def _(spark, d):
     return metrics.normalised_mutual_information(_side(c, "fine"), _side(c, "coarse")).select(F.round("nmi", 9).alias("nmi"))
 
 
-@query("adjusted_information")
+@query(
+    "adjusted_information",
+    f"""{_N}, m AS (SELECT SUM(t.n / z.n * LN(t.n * z.n / (a.n * b.n))) AS mi FROM t JOIN a ON a.ca = t.ca JOIN b ON b.cb = t.cb CROSS JOIN z), ha AS (SELECT -SUM(a.n / z.n * LN(a.n / z.n)) AS h FROM a CROSS JOIN z), hb AS (SELECT -SUM(b.n / z.n * LN(b.n / z.n)) AS h FROM b CROSS JOIN z),
+        c AS (SELECT CAST(a.n AS BIGINT) AS a, CAST(b.n AS BIGINT) AS b, CAST(z.n AS BIGINT) AS n, UNNEST(RANGE(GREATEST(1, CAST(a.n + b.n - z.n AS BIGINT)), CAST(LEAST(a.n, b.n) AS BIGINT) + 1)) AS x FROM a CROSS JOIN b CROSS JOIN z),
+        e AS (SELECT SUM(CAST(x AS DOUBLE) / n * LN(CAST(n AS DOUBLE) * x / (CAST(a AS DOUBLE) * b)) * EXP(LGAMMA(a + 1) + LGAMMA(b + 1) + LGAMMA(n - a + 1) + LGAMMA(n - b + 1) - LGAMMA(n + 1) - LGAMMA(x + 1) - LGAMMA(a - x + 1) - LGAMMA(b - x + 1) - LGAMMA(n - a - b + x + 1))) AS e FROM c)
+        SELECT ROUND((m.mi - e.e) / (GREATEST(ha.h, hb.h) - e.e), 6) AS ami FROM m, e, ha, hb""",
+)
 def _(spark, d):
     c = Corpus(spark, d)
-    return spark.createDataFrame([(metrics.adjusted_mutual_information(_side(c, "fine"), _side(c, "coarse")),)], "ami double")
+    return spark.createDataFrame([(round(metrics.adjusted_mutual_information(_side(c, "fine"), _side(c, "coarse")), 6),)], "ami double")
 
 
 _J = "WITH t AS (SELECT fine AS ca, coarse AS cb, COUNT(*) AS n FROM clusters WHERE fine >= 0 AND coarse >= 0 GROUP BY fine, coarse), a AS (SELECT fine AS ca, COUNT(*) AS n FROM clusters WHERE fine >= 0 GROUP BY fine), b AS (SELECT coarse AS cb, COUNT(*) AS n FROM clusters WHERE coarse >= 0 GROUP BY coarse), j AS (SELECT t.ca, t.cb, t.n, CAST(t.n AS DOUBLE) / (a.n + b.n - t.n) AS jaccard FROM t JOIN a ON a.ca = t.ca JOIN b ON b.cb = t.cb)"
@@ -354,14 +364,13 @@ def _texts(c: Corpus):
 
 @query(
     "class_terms",
-    f"""WITH d AS (SELECT CAST(doc_id % 12 AS INT) AS cluster_id, SUBSTR(text, 1, 400) AS text FROM documents), k AS (SELECT cluster_id, UNNEST({_TOK}) AS term FROM d),
+    f"""WITH d AS (SELECT CAST(doc_id % 12 AS INT) AS cluster_id, text FROM documents), k AS (SELECT cluster_id, UNNEST({_TOK}) AS term FROM d),
         tf AS (SELECT cluster_id, term, COUNT(*) AS tf FROM k GROUP BY cluster_id, term), df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term), z AS (SELECT cluster_id, SUM(tf) AS total FROM tf GROUP BY cluster_id),
         s AS (SELECT tf.cluster_id, tf.term, CAST(tf.tf AS BIGINT) AS tf, CAST(df.df AS BIGINT) AS df, tf.tf / z.total * LN(1 + 12 / (1 + df.df)) AS score FROM tf JOIN df ON df.term = tf.term JOIN z ON z.cluster_id = tf.cluster_id),
         r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY ROUND(score, 12) DESC, term) AS INT) AS rank FROM s) SELECT cluster_id, term, tf, df, ROUND(score, 9) AS score, rank FROM r WHERE rank <= 4""",
 )
 def _(spark, d):
-    starts = _texts(Corpus(spark, d)).withColumn("text", F.substring("text", 1, 400))  # as its oracle
-    return labels.class_tfidf(starts).withColumn("score", F.round("score", 9))
+    return labels.class_tfidf(_texts(Corpus(spark, d))).withColumn("score", F.round("score", 9))
 
 
 @query("banded_terms")

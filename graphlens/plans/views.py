@@ -16,8 +16,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 #: In order: a view may use those before it.
 VIEWS = {
     "papers": """
-      SELECT CAST(d.doc_id + 1 AS BIGINT) AS id, SUBSTR(d.text, 1, 60) AS title,
-             CASE WHEN d.n_chars >= 200 THEN SUBSTR(d.text, 1, 400) END AS abstract,
+      SELECT CAST(d.doc_id + 1 AS BIGINT) AS id, SPLIT_PART(d.text, CHR(10), 1) AS title,
+             CASE WHEN d.n_chars >= 200 THEN d.text END AS abstract,
              CAST(1990 + d.doc_id % 35 AS INT) AS year,
              CASE WHEN d.doc_id % 5 <> 0 THEN CONCAT('10.1/', CAST(d.doc_id AS VARCHAR(20))) END AS doi,
              CASE WHEN d.doc_id % 3 <> 0 THEN CONCAT('s', CAST(d.doc_id AS VARCHAR(20))) END AS s2_id,
@@ -48,7 +48,7 @@ VIEWS = {
       SELECT id, title, abstract, year, doi, s2_id, oa_id, venue, is_seed FROM papers
       WHERE is_rejected = 0 AND is_stub = 0 AND tombstone = 0 AND title IS NOT NULL AND abstract IS NOT NULL""",
     "pending": """
-      SELECT CAST(ROW_NUMBER() OVER (ORDER BY citing_id, cited_id) AS BIGINT) AS id,
+      SELECT citing_id * 1000000000 + cited_id AS id,
              CASE WHEN citing_id % 3 <> 0 THEN CONCAT('10.1/', CAST(citing_id - 1 AS VARCHAR(20))) END AS citing_doi,
              CONCAT('s', CAST(citing_id - 1 AS VARCHAR(20))) AS citing_s2_id,
              CASE WHEN cited_id % 2 = 0 THEN CONCAT('10.1/', CAST(cited_id - 1 AS VARCHAR(20))) END AS cited_doi,
@@ -87,6 +87,10 @@ VIEWS = {
              CAST(CASE WHEN doc_id % 19 = 0 THEN -1 WHEN doc_id % 5 = 0 THEN (doc_id % 12 + 1) % 4 ELSE doc_id % 4 END AS INT) AS coarse FROM documents""",
 }
 
+#: Smallest node reachable from every node of the undirected ``link(a, b)``; labels go down by keyed recursion.
+REACH = """reach(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM link UNION
+       (SELECT l.b AS node, MIN(u.component) AS component FROM reach u JOIN link l ON l.a = u.node JOIN recurring.reach r ON r.node = l.b WHERE u.component < r.component GROUP BY l.b))"""
+
 
 def with_views(sql: str) -> str:
     """``sql`` with the views it names, and those they name, before it."""

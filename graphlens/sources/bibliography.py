@@ -159,11 +159,16 @@ def bib_papers(entries: DataFrame) -> DataFrame:
     )
 
 
+def key_suffix(n: Column) -> Column:
+    """Suffix of a key's nth use: none, a to z, then z1, z2 and so on."""
+    return F.when(n == 1, "").when(n <= 27, F.char(F.lit(95) + n)).otherwise(F.concat(F.lit("z"), (n - 27).cast("string")))
+
+
 def citekeys(papers: DataFrame) -> DataFrame:
     """``papers`` with ``citekey``: the stored one, else author, year and first title word, made unique.
 
-    A synthesised key that repeats takes suffixes a, b, c ... in id order, past
-    keys that are stored.
+    A synthesised key that repeats takes suffixes a to z, z1, z2 ... in id order,
+    past keys that are stored.
     """
     author = F.regexp_replace(F.lower(F.coalesce(F.get(F.split(F.get("authors", 0), ","), 0), F.lit("anon"))), "[^a-z0-9]", "")
     word = F.get(F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda w: F.length(w) > 3), 0)
@@ -172,7 +177,7 @@ def citekeys(papers: DataFrame) -> DataFrame:
     stored = papers.where("citekey is not null").select(F.col("citekey").alias("__base"), F.lit(1).alias("__taken")).distinct()
     w = Window.partitionBy("__base").orderBy("id")
     p = p.join(stored, "__base", "left").withColumn("__n", F.row_number().over(w) + F.coalesce("__taken", F.lit(0)))
-    suffix = F.when(F.col("__n") == 1, "").otherwise(F.char(F.lit(95) + F.col("__n")))
+    suffix = key_suffix(F.col("__n"))
     return p.withColumn("citekey", F.coalesce("citekey", F.concat("__base", suffix))).drop("__base", "__taken", "__n")
 
 

@@ -70,7 +70,9 @@ def test_author_rules():
 
 @pytest.mark.parametrize(
     "raw,want",
-    [("<scp>C</scp>ry<scp>1F</scp>-toxin", "Cry1F-toxin"), ("<sup>13</sup>C-Glucose", "13C-Glucose"), ("a &amp;#39;b&amp;#39;", "a 'b'"), ("The <i>E. coli</i> , strain", "The E. coli, strain"), (None, None)],
+    [("<scp>C</scp>ry<scp>1F</scp>-toxin", "Cry1F-toxin"), ("<sup>13</sup>C-Glucose", "13C-Glucose"), ("a &amp;#39;b&amp;#39;", "a 'b'"), ("The <i>E. coli</i> , strain", "The E. coli, strain"), (None, None),
+     ("of<italic>Spodoptera</italic>(<bold>B</bold>t)", "of Spodoptera (Bt)"), ("<smallcaps>a</smallcaps>b <sans-serif>c</sans-serif><monospace>d</monospace>", "ab cd"),
+     (">i<Bacillus>/i< kept <other>", ">i<Bacillus>/i< kept <other>"), ("  plain  as it is ", "  plain  as it is "), ("<mml:math>x</mml:math> <S>y</S>", "x y")],
 )
 def test_clean_title(raw, want):
     got = X.clean_title_py(raw)
@@ -85,6 +87,30 @@ def test_clean_title_is_idempotent(t):
     assert X.clean_title_py(once) == once
 
 
+def test_title_entities(spark):
+    raw = "<i>Wolbachia</i> <em>a, b</em> <scp>ABC</scp> <scp>CYP321A9</scp> <i>13</i> <italic>x</italic> <i>Spodoptera  <b>frugiperda</b></i>"
+    assert X.title_keywords_py(raw) == ["Wolbachia", "Spodoptera frugiperda", "CYP321A9"]
+    df = spark.createDataFrame([(raw,), ("&lt;i&gt;Bt toxin&lt;/i&gt;",), ("none",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.title_keywords(F.col("t"))).collect()][1:] == [["Bt toxin"], [], []]
+
+
+def test_names_keep_their_ends(spark):
+    df = spark.createDataFrame([("A0 and 1B1 and  22 C2 2",)], "n string")
+    assert df.select(X.split_names(F.col("n"))).first()[0] == ["A0", "1B1", "22 C2 2"]
+
+
+def test_ngrams(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
+    assert [r[0] for r in df.select(X.ngrams(F.col("w"), 3)).collect()] == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], []]
+
+
+def test_key_suffixes(spark):
+    from graphlens.sources import bibliography
+
+    got = [r[0] for r in spark.range(1, 31).orderBy("id").select(bibliography.key_suffix(F.col("id"))).collect()]
+    assert got[:3] == ["", "a", "b"] and got[26:] == ["z", "z1", "z2", "z3"]
+
+
 def test_doi_forms(spark):
     df = spark.createDataFrame([("https://doi.org/10.1/AB",), ("doi:10.1/ab",), (" 10.1/aB ",), ("",), (None,)], "raw string")
     assert [r[0] for r in df.select(X.normalise_doi(F.col("raw"))).collect()] == ["10.1/ab", "10.1/ab", "10.1/ab", None, None]

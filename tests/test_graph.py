@@ -171,3 +171,14 @@ def test_label_queries_read_whole_texts(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert "lateword" in {r["term"] for r in catalog.QUERIES["banded_terms"](spark, str(tmp_path)).collect()}
     assert all("lateword" in r["phrases"] for r in catalog.QUERIES["key_phrases"](spark, str(tmp_path)).collect())
+
+
+def test_drawing_anchors_old_nodes_nearer_the_origin(spark):
+    t = np.linspace(0, 1, 60)
+    pos = layout.force_directed(60, np.zeros((0, 2), dtype=int), t=t)
+    far = np.sqrt((pos * pos).sum(1))
+    assert np.corrcoef(far, t)[0, 1] > 0.5 and far.max() <= layout.WALL * layout.RADIUS + 1e-6
+    nodes = spark.createDataFrame([(i, float(x)) for i, x in enumerate(t)], "node_id long, t double")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (5, 900)], "a long, b long")
+    got = np.array([tuple(r) for r in layout.drawing(nodes, edges).orderBy("node_id").collect()])
+    assert np.allclose(got[:, 1:], layout.force_directed(60, np.array([[0, 1], [1, 2]]), t=t))
