@@ -212,10 +212,10 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: counts, digest of the base spans, and all spans of every document."""
+    """Contract query: counts, digest of the base spans, and all spans of every document with their number and scores."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     scores = F.array_join(F.transform("__all", lambda s: s["score"].cast("string")), ",")
-    added = (F.size("__all") - F.size("__base")).cast("long").alias("n_added")
+    number = [F.size("__all").cast("long").alias("n_spans"), (F.size("__all") - F.size("__base")).cast("long").alias("n_added")]
     digest = F.sha2(_joined(F.col("__base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *(count(k) for k in KINDS), digest, _joined(F.col("__all")).alias("spans"), scores.alias("scores"), added)
+    return found.select("doc_id", *(count(k) for k in KINDS), digest, _joined(F.col("__all")).alias("spans"), scores.alias("scores"), *number)
