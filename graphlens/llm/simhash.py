@@ -306,6 +306,55 @@ def _confirm(pairs: DataFrame, sets: DataFrame, least: float, block: int) -> Dat
     return two.select("src", "dst", "set", "other").mapInArrow(run, "src long, dst long, ok boolean")
 
 
+def _recheck(proposed: DataFrame, checked: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, within: int, block: int) -> DataFrame:
+    """``(src, dst)``: links between similar enough nodes that the proposals left out because refused links seemed to tie them.
+
+    ``proposed`` holds forests, so a pair left out has both ends in one of their
+    components; where every link of it was confirmed the pair is tied for
+    certain. In the others all pairs within ``within`` bits that confirmed links
+    don't tie are compared. A component is dealt by a hash into blocks of about
+    ``block`` nodes (and half a million shingles), and every pair of blocks is a
+    group with its nodes' sets, so that sets move once a block, not once a pair.
+    """
+    part = cut(components(proposed))
+    refused = checked.where("not ok").join(part.select(F.col("node").alias("src"), "component"), "src").select("component").distinct()
+    tied = components(checked.where("ok").select("src", "dst")).select("node", F.col("component").alias("label"))
+    w = [c for c in nodes.columns if c[0] == "w" and c[1:].isdigit()]
+    open_ = cut(part.join(refused, "component", "left_semi").join(tied, "node", "left").join(nodes.select("node", "size", *w), "node"))
+    many = open_.groupBy("component").agg(F.expr(f"cast(ceil(greatest(count(*) / {float(block)}, sum(size) / {float(1 << 19)})) as int)").alias("nb"))
+    dealt = open_.join(many, "component").join(sets, "node").withColumn("label", F.coalesce("label", "node"))
+    dealt = dealt.withColumn("blk", F.expr("cast(pmod(xxhash64(node, 7), nb) as int)")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = dealt.select("component", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "node", "label", "size", "set", *w)
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        blk, b1, b2, node, label, size = (t.column(c).to_numpy() for c in ("blk", "b1", "b2", "node", "label", "size"))
+        words, own = [t.column(c).to_numpy() for c in w], [np.frombuffer(x, dtype=np.uint64) for x in t.column("set").to_pylist()]
+        label, cross, place, links = label.copy(), len(b1) and b1[0] != b2[0], np.arange(len(node)), []
+        for i in range(len(node)):
+            at = (place > i) & (label != label[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-9)
+            if cross:
+                at &= blk != blk[i]
+            at = np.flatnonzero(at)
+            bits = sum(np.bitwise_count((x[at] ^ x[i]).view(np.uint64)).astype(np.int16) for x in words)
+            at = at[bits <= within]
+            if not len(at):
+                continue
+            theirs, ends = np.concatenate([own[j] for j in at]), np.append(0, np.cumsum([len(own[j]) for j in at]))
+            found = np.searchsorted(own[i], theirs)
+            hit = np.zeros(len(theirs) + 1, np.int64)
+            if len(own[i]):
+                hit[1:] = np.cumsum(own[i][np.minimum(found, len(own[i]) - 1)] == theirs)
+            shared, both = hit[ends[1:]] - hit[ends[:-1]], np.diff(ends) + len(own[i])
+            for j in at[shared * (1 + least) >= least * both - 1e-9]:
+                if label[j] != label[i]:
+                    links.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"src": pa.array([int(x[0]) for x in links], pa.int64()), "dst": pa.array([int(x[1]) for x in links], pa.int64())})
+
+    return dealt.groupBy("component", "b1", "b2").applyInArrow(solve, "src long, dst long")
+
+
 def similar_components(
     docs: DataFrame, least: float = 0.8, shingle: int = 5, words: int = 2, parts: int = 5, radius: int = 4, within: int = 29, block: int = 16_384
 ) -> DataFrame:
@@ -320,8 +369,9 @@ def similar_components(
     table; of those at 25 to 29 bits about one in a hundred doesn't, as a part's
     bits seldom span all its dimensions. Of each table's groups the links of a
     spanning forest with the fewest differing bits are proposed, and a link
-    counts only if the two whole shingle sets are similar enough. Rows without an
-    id are left out.
+    counts only if the two whole shingle sets are similar enough. Where a link is
+    refused, what it stood for is compared pair by pair (``_recheck``), so a
+    group is tied as by all pairs of its tables. Rows without an id are left out.
 
     Proposals number at most a document and table; those of a group of copies
     are mostly the same in every table, as its rows come in the same order.
@@ -334,7 +384,8 @@ def similar_components(
     proposed = cut(found.distinct())
     asked = proposed.select(F.col("src").alias("node")).union(proposed.select("dst")).distinct()
     sets = cut(_shingle_sets(docs, nodes.join(asked, "node", "left_semi"), shingle))
-    links = cut(_confirm(proposed, sets, least, min(block, 4096))).where("ok").select("src", "dst")
+    checked = cut(_confirm(proposed, sets, least, min(block, 4096)))
+    links = cut(checked.where("ok").select("src", "dst").unionAll(_recheck(proposed, checked, nodes, sets, least, within, min(block, 512))))
     got = _named(prints.select("doc_id", "text_hash", *key), nodes.select("node", "rep", "rows", *key), key, links)
     return got.select("doc_id", "text_hash", "component", "component_id")
 

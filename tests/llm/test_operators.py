@@ -455,6 +455,25 @@ def test_lightest_forest():
         assert w[keep].sum() == total and len(keep) == n - len(set(label))
 
 
+def test_similar_pair_behind_a_refused_link(spark):
+    r, texts = random.Random(4), []
+    for _ in range(12):  # families whose members are just above or just below the threshold
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        for _ in range(16):
+            words = list(base)
+            for _ in range(r.randrange(2, 9)):
+                words[r.randrange(300)] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t, 5, True).tolist()) for t in texts]
+    prints = [simhash.fingerprint(t, 5, 2, True) for t in texts]
+    bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[a], prints[b]))
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b) and bits(a, b) <= 24]  # pairs that share a table for certain
+    for block in (4096, 8):
+        got = {x["doc_id"]: x["component"] for x in simhash.similar_components(frame(spark, texts), block=block).collect()}
+        assert links and all(got[a] == got[b] for a, b in links)
+
+
 def test_simhash_default_catches_near_copies(spark):
     r = random.Random(8)
     words = [f"w{r.randrange(5000)}" for _ in range(400)]
