@@ -98,10 +98,8 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     label = np.arange(n)
     while len(a):
         low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
+        for x in (label[a], label[b]):  # roots only: a lower label for others would cut them off from theirs
+            np.minimum.at(label, x, low)
         while True:
             up = label[label]
             if np.array_equal(up, label):

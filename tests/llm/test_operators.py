@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphlens.llm import embed_dedup, language, line_dedup, media, packing, pii, sentence_pieces, simhash, token_counts, url_filter
+from graphlens.llm import common, embed_dedup, language, line_dedup, media, packing, pii, sentence_pieces, simhash, token_counts, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -441,6 +441,18 @@ def test_similar_groups_are_confirmed(spark):
     assert simhash.similar_components(frame(spark, [])).count() == 0
 
 
+def test_forest_loses_no_link():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(r.integers(2, 200))
+        a, b = r.integers(0, n, (2, int(r.integers(1, 2 * n))))
+        label = list(range(n))
+        for x, y in zip(a, b):
+            low, high = sorted((label[x], label[y]))
+            label = [low if v == high else v for v in label]
+        assert common.forest(a, b, n).tolist() == label
+
+
 def test_lightest_forest():
     r = np.random.default_rng(3)
     for n in (1, 2, 9, 40):
