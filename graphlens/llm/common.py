@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphlens.operators.components import connected_components as components
 from graphlens.operators.components import cut, shared_folder
 
-__all__ = ["bounded_batches", "components", "cut", "forest", "give_back", "join_by_key", "pieces", "salted_join", "shared_folder", "small_side", "split_hot", "table"]
+__all__ = ["bounded_batches", "components", "cut", "drop_shuffles", "few_components", "forest", "give_back", "join_by_key", "pieces", "salted_join", "shared_folder", "small_side", "split_hot", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def give_back() -> None:
         pass
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files behind finished checkpoints go; Spark keeps them until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(batches, rows: int = 1000):
     """Arrow batches in slices of ``rows``; free memory goes back at the end.
 
@@ -110,6 +116,29 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+def few_components(links: DataFrame, few: int = 1 << 20) -> DataFrame:
+    """``components(links)``, in one task for at most ``few`` links ``(src, dst)`` of long ids.
+
+    Every round of ``components`` shuffles the links several times. Where they
+    are few, its tasks, with their files and their records, take far more disk
+    than the links; beyond ``few`` the rounds are made. ``links`` must be cheap
+    to read again (a checkpoint).
+    """
+    if links.count() > few:
+        return components(links)
+
+    def solve(batches):
+        ends = [np.zeros((2, 0), np.int64), *(np.stack([b.column(i).to_numpy() for i in range(2)]) for b in batches)]
+        ids, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        found = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[forest(a, b, len(ids))])], names=["node", "component"])
+        for s in range(0, found.num_rows, 1 << 16):
+            yield found.slice(s, 1 << 16)
+        give_back()
+
+    return links.select("src", "dst").where("src <> dst").coalesce(1).mapInArrow(solve, "node long, component long")
+
+
 def split_hot(rows: DataFrame, n: int, block: int) -> DataFrame:
     """Deal ``n`` ``rows(bucket, rep, ...)`` into block pairs so that no task gets a hot bucket.
 

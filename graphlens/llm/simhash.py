@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import bounded_batches, components, cut, forest, join_by_key, pieces, salted_join, split_hot, table
+from graphlens.llm.common import bounded_batches, components, cut, drop_shuffles, few_components, forest, join_by_key, pieces, salted_join, split_hot, table
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles handled at a time; bounds memory on very long texts.
@@ -232,9 +232,9 @@ def _proposals(nodes: DataFrame, words: int, parts: int, radius: int, within: in
     return grouped.repartition(n, "grp").sortWithinPartitions("grp", "meta", "rep").mapInArrow(_links(words, within, least), "src long, dst long, bits long")
 
 
-def _named(prints: DataFrame, nodes: DataFrame, key: list[str], links: DataFrame) -> DataFrame:
-    """``prints`` with the ``component`` of its node under ``links`` and ``component_id``, the smallest id among its rows."""
-    found = cut(components(links).join(nodes.select("node", "rep", "rows"), "node").select("node", "component", "rep"))
+def _named(prints: DataFrame, nodes: DataFrame, key: list[str], tied: DataFrame) -> DataFrame:
+    """``prints`` with the ``component`` of its node, by ``tied(node, component)``, and ``component_id``, the smallest id among its rows."""
+    found = cut(tied.join(nodes.select("node", "rep", "rows"), "node").select("node", "component", "rep"))
     names = cut(found.groupBy("component").agg(F.min("rep").alias("name"), F.count("*").alias("n")))
     member = join_by_key(found.select("node", "component"), names, ["component"], "n").select("node", "component", "name")
     named = nodes.join(member, "node", "left").select(*key, "rows", F.coalesce("component", "node").alias("component"), F.coalesce("name", "rep").alias("component_id"))
@@ -265,7 +265,8 @@ def near_components(
     w = [f"w{i}" for i in range(words)]
     prints = cut(fingerprints(docs, shingle, words, distinct).select("doc_id", *w))
     nodes = _nodes(prints, w, [])
-    return _named(prints, nodes, w, _proposals(nodes.withColumn("size", F.lit(0)), words, parts, radius, within, block)).select("doc_id", *w, "component_id")
+    links = _proposals(nodes.withColumn("size", F.lit(0)), words, parts, radius, within, block)
+    return _named(prints, nodes, w, components(links)).select("doc_id", *w, "component_id")
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -316,9 +317,9 @@ def _recheck(proposed: DataFrame, checked: DataFrame, nodes: DataFrame, sets: Da
     ``block`` nodes (and half a million shingles), and every pair of blocks is a
     group with its nodes' sets, so that sets move once a block, not once a pair.
     """
-    part = cut(components(proposed))
+    part = cut(few_components(proposed))
     refused = checked.where("not ok").join(part.select(F.col("node").alias("src"), "component"), "src").select("component").distinct()
-    tied = components(checked.where("ok").select("src", "dst")).select("node", F.col("component").alias("label"))
+    tied = few_components(checked.where("ok")).select("node", F.col("component").alias("label"))
     w = [c for c in nodes.columns if c[0] == "w" and c[1:].isdigit()]
     open_ = cut(part.join(refused, "component", "left_semi").join(tied, "node", "left").join(nodes.select("node", "size", *w), "node"))
     many = open_.groupBy("component").agg(F.expr(f"cast(ceil(greatest(count(*) / {float(block)}, sum(size) / {float(1 << 19)})) as int)").alias("nb"))
@@ -382,11 +383,13 @@ def similar_components(
     nodes = _nodes(prints, key, ["size", *w])
     found = _proposals(nodes, words, parts, radius, within, block, least).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     proposed = cut(found.distinct())
+    drop_shuffles(docs.sparkSession)
     asked = proposed.select(F.col("src").alias("node")).union(proposed.select("dst")).distinct()
     sets = cut(_shingle_sets(docs, nodes.join(asked, "node", "left_semi"), shingle))
     checked = cut(_confirm(proposed, sets, least, min(block, 4096)))
+    drop_shuffles(docs.sparkSession)
     links = cut(checked.where("ok").select("src", "dst").unionAll(_recheck(proposed, checked, nodes, sets, least, within, min(block, 512))))
-    got = _named(prints.select("doc_id", "text_hash", *key), nodes.select("node", "rep", "rows", *key), key, links)
+    got = _named(prints.select("doc_id", "text_hash", *key), nodes.select("node", "rep", "rows", *key), key, few_components(links))
     return got.select("doc_id", "text_hash", "component", "component_id")
 
 

@@ -453,6 +453,34 @@ def test_forest_loses_no_link():
         assert common.forest(a, b, n).tolist() == label
 
 
+def test_few_components(spark):
+    rng = random.Random(5)
+    for n, m in ((1, 0), (30, 20), (200, 150), (400, 700)):
+        rows = [(rng.randrange(n) - n // 3, rng.randrange(n) - n // 3) for _ in range(m)] + [(7, 7), (None, 3), (4, None)]
+        links = common.cut(spark.createDataFrame(rows, "src long, dst long"))
+        want = sorted(map(tuple, common.components(links).collect()))
+        assert sorted(map(tuple, common.few_components(links).collect())) == want  # one task
+        assert sorted(map(tuple, common.few_components(links, few=0).collect())) == want  # rounds
+    chain = common.cut(spark.range(3000).selectExpr("id + 1 as src", "id as dst"))
+    assert [tuple(x) for x in common.few_components(chain).groupBy("component").count().collect()] == [(0, 3001)]
+
+
+def test_similar_components_takes_few_jobs(spark):
+    """Rounds of shuffles over a few links left more files and records than the texts take."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:k] + [rng.choice("abc")] + words[k + 1 :]) for k in range(60)]
+    sc, df = spark.sparkContext, frame(spark, texts)
+    sc.setJobGroup("few jobs", "similar_components")
+    try:
+        got = simhash.similar_components(df)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few jobs"))
+    assert got.count() == 60
+    assert 0 < jobs <= 100, jobs
+
+
 def test_lightest_forest():
     r = np.random.default_rng(3)
     for n in (1, 2, 9, 40):
